@@ -10,6 +10,7 @@ from kelpwork.llm.cube import ProportionSample
 from kelpwork.llm.groups import linked_groups
 from kelpwork.llm.overlap import SplitOverlap
 from kelpwork.llm.stratify import RATIOS, grouped_split
+from kelpwork.llm.tokens import token_ids
 
 #: A pair of paths is a match up to this distance.
 MATCH_DISTANCE = 6
@@ -92,7 +93,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return _groups(spark, sf).where("name <> group_id").select(F.col("group_id").alias("first_path"), F.col("name").alias("image_path"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_report, p3_links, p5_found, p5_assignment, p5_balance, p6_found, p6_groups)}
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return token_ids(_table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_report, p3_links, p5_found, p5_assignment, p5_balance, p6_found, p6_groups, p7_ids)}
 
 _SPLIT = """CASE WHEN lower(trim({0}, E' \\t\\r\\n')) IN ('train', 'training') THEN 'train'
   WHEN lower(trim({0}, E' \\t\\r\\n')) IN ('val', 'valid', 'validation') THEN 'val'
