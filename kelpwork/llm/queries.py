@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kelpwork.functions.text import label_of, split_of
 from kelpwork.llm.cube import ProportionSample
 from kelpwork.llm.groups import linked_groups
+from kelpwork.llm.leaks import leaked_items
 from kelpwork.llm.overlap import SplitOverlap
 from kelpwork.llm.stratify import RATIOS, grouped_split
 from kelpwork.llm.tokens import token_ids
@@ -97,7 +98,15 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids(_table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_report, p3_links, p5_found, p5_assignment, p5_balance, p6_found, p6_groups, p7_ids)}
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_leaks(spark, sf).where("exact").select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_report, p3_links, p5_found, p5_assignment, p5_balance, p6_found, p6_groups, p7_ids, p8_found, p8_leaks)}
 
 _SPLIT = """CASE WHEN lower(trim({0}, E' \\t\\r\\n')) IN ('train', 'training') THEN 'train'
   WHEN lower(trim({0}, E' \\t\\r\\n')) IN ('val', 'valid', 'validation') THEN 'val'
