@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpwork.llm.partials import summed
 from kelpwork.plans.shared import Stage
 from kelpwork.plans.skew import hot_lookup
 
@@ -34,9 +35,8 @@ MIN_COMMON = 9
 MIN_ANSWER = 0.5
 #: Items are searched for in blocks of so many; vocabulary and item vectors of one block are what tasks are sent.
 ITEM_BLOCK = 2_000
-#: Rows of the dense products, and partial sums of the SVD that meet in one task.
+#: Rows of the dense products.
 ROWS = 1_024
-FAN_IN = 32
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -121,28 +121,7 @@ def _gram_times(windows: np.ndarray, idf: np.ndarray, q: np.ndarray) -> np.ndarr
 
 
 def _distributed_gram(passages: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Sum of ``_gram_times`` over all passages; partial sums meet in groups of FAN_IN until few enough are left."""
-    shape = q.shape
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(shape)
-        for pdf in batches:
-            if len(pdf):
-                total += _gram_times(_unpacked(pdf["ids"]), idf, q)
-        yield pd.DataFrame({"total": [total.tobytes()]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in pdf["total"])
-        return pd.DataFrame({"g": pdf["g"].iloc[:1] // FAN_IN, "total": [total.tobytes()]})
-
-    n = passages.rdd.getNumPartitions()
-    sums = passages.select("ids").mapInPandas(part, "total binary").select(F.spark_partition_id().cast("long").alias("g"), "total")
-    sums = sums.withColumn("g", F.floor(F.col("g") / FAN_IN))
-    while n > 1:
-        sums = sums.groupBy("g").applyInPandas(add, "g long, total binary")
-        n = -(-n // FAN_IN)
-    rows = sums.collect()  # one row, or one for each of a few tasks of a small table
-    return sum((np.frombuffer(r.total).reshape(shape) for r in rows), np.zeros(shape))
+    return summed(passages, lambda pdf: _gram_times(_unpacked(pdf["ids"]), idf, q), q.shape)
 
 
 def latent_space(passages: DataFrame, items: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 0) -> Space:

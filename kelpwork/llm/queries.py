@@ -10,6 +10,7 @@ from kelpwork.llm.cube import ProportionSample
 from kelpwork.llm.groups import linked_groups
 from kelpwork.llm.leaks import leaked_items
 from kelpwork.llm.overlap import SplitOverlap
+from kelpwork.llm.quality import not_prose, text_statistics
 from kelpwork.llm.stratify import RATIOS, grouped_split
 from kelpwork.llm.tokens import token_ids
 
@@ -106,7 +107,15 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_leaks(spark, sf).where("exact").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_report, p3_links, p5_found, p5_assignment, p5_balance, p6_found, p6_groups, p7_ids, p8_found, p8_leaks)}
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return text_statistics(_table(spark, sf, "documents"), _table(spark, sf, "common_words"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return not_prose(p9_statistics(spark, sf)).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_report, p3_links, p5_found, p5_assignment, p5_balance, p6_found, p6_groups, p7_ids, p8_found, p8_leaks, p9_found, p9_statistics)}
 
 _SPLIT = """CASE WHEN lower(trim({0}, E' \\t\\r\\n')) IN ('train', 'training') THEN 'train'
   WHEN lower(trim({0}, E' \\t\\r\\n')) IN ('val', 'valid', 'validation') THEN 'val'

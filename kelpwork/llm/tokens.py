@@ -46,7 +46,7 @@ _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼-¾"
 _S = "\t-\r \x85\xa0"
 _PLAIN = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_NOT_PLAIN = re.compile("[^\x00-ſ̀-ͯ​-‍‐-‧‰-›€─-❵➔-➿︀-️﻿]")
+_NOT_PLAIN = re.compile("[^\x00-\u017f\u0300-\u036f\u200b-\u200d\u2010-\u2027\u2030-\u203a\u20ac\u2500-\u2775\u2794-\u27bf\ufe00-\ufe0f\ufeff]")
 
 
 class _Parts(dict):
