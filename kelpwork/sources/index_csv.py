@@ -29,7 +29,7 @@ def index_records(files: DataFrame, file_id: str = "file_id", content: str = "co
     last line inside an unclosed quote are no records. A leading byte order mark is dropped; line ends are LF, CR or
     CRLF; a quoted field may hold line ends. ``rec_no`` counts from 1 within the file. Null or empty content: no record.
     """
-    text = F.regexp_replace(F.col(content), "^﻿+", "")
+    text = F.regexp_replace(F.col(content), "^\uFEFF+", "")
     lines = F.filter(F.regexp_extract_all(text, F.lit(f"({_LINE})"), 1), lambda x: F.length(x) > 0)
     rows = F.transform(lines, _fields)
     rows = F.filter(rows, lambda r: (F.size(r) == 3) & ~F.exists(r, lambda f: f.rlike(_UNCLOSED)))
