@@ -49,7 +49,10 @@ _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 # a sentence end is not followed by a small letter, a digit or closing punctuation
 _BREAK = re.compile(r"[.!?;:…][\"'»”’)\]]* (?=[^a-zß-öø-ÿ0-9),;.])")
 # blackened or withheld passages; they count as characters but not as words or symbols
-_REDACTED = re.compile(r"█[█ ]*█|█|▇+|■+|▓+|\[REDACTED\]|\[redacted\]|\[\.\.\.\]|\[…\]|\(name withheld\)|\*{3,}|XXX+|__+|(?<=\b[A-Z])…")
+_REDACTED = re.compile(
+    r"[█▇■▓\[(*X_…](?:(?<=█)(?:[█ ]*█)?|(?<=[▇■▓])[▇■▓]*|(?<=\[)(?:REDACTED|redacted|\.\.\.|…)\]|(?<=\()name withheld\)"
+    r"|(?<=\*)\*\*+|(?<=X)XX+|(?<=_)_+|(?<=\b[A-Z]…))"
+)
 # private characters that stand for redacted ones, and for an ellipsis while NFKC would make it three full stops
 _HIDDEN, _ELLIPSIS = "\ue000", "\ue001"
 
@@ -85,7 +88,7 @@ def _measure(languages: list[str], common: dict[str, int]):
             n, size = len(found), len(r)
             letters, digits = sum(map(len, found)), sum(map(len, _DIGITS.findall(r)))
             symbols = size - letters - digits - r.count(" ")
-            masks = bytes(filter(None, map(of_word, map(str.lower, found))))
+            masks = bytes(filter(None, map(of_word, found)))
             hits = [masks.translate(t).count(1) for t in tables]
             k = hits.index(max(hits))
             capitals = -1.0 if sum(map(str.isupper, found)) > 0.7 * n else sum(map(str.istitle, found)) / max(1, n)
@@ -220,7 +223,8 @@ def _common_words(words: DataFrame) -> tuple[list[str], dict[str, int]]:
         raise ValueError("at most 8 languages have a bit in a byte")
     common: dict[str, int] = {}
     for lang, word in read:
-        common[word] = common.get(word, 0) | 1 << languages.index(lang)
+        for spelt in {word, word.upper(), word.capitalize()}:  # as words stand in texts
+            common[spelt] = common.get(spelt, 0) | 1 << languages.index(lang)
     return languages, common
 
 
