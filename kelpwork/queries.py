@@ -165,7 +165,10 @@ def label_split_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def random_split_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.random_split(_rows(spark, sf).select("row_idx", "label"), "row_idx", "label").select("row_idx", "label", "split")
+    """Over the classes that can be split, those of two rows or more."""
+    rows = _rows(spark, sf).select("row_idx", "label")
+    splittable = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
+    return sampling.random_split(rows.join(splittable, "label", "left_semi"), "row_idx", "label").select("row_idx", "label", "split")
 
 
 def sample_512(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,7 +355,7 @@ fold(g, k, cluster_id, a, b, c, pick) AS (
 
 _NORM = "list_transform(range(64), lambda i: (embedding[i + 1]::DOUBLE - [0.485, 0.456, 0.406, 0.5][i // 16 + 1]::DOUBLE) / [0.229, 0.224, 0.225, 0.25][i // 16 + 1]::DOUBLE)"
 _SCORED = "s AS (SELECT vec_id, label AS y, list_slice(embedding, 1, 10) AS l, list_position(list_slice(embedding, 1, 10), list_max(list_slice(embedding, 1, 10))) - 1 AS pred FROM embeddings)"
-_QUOTA = _ROWS + """, sizes AS (SELECT label, count(*) AS n FROM rows WHERE label IS NOT NULL GROUP BY label),
+_QUOTA = _ROWS + """, sizes AS (SELECT label, count(*) AS n FROM rows WHERE label IS NOT NULL GROUP BY label HAVING count(*) > 1),
 tot AS (SELECT sum(n) AS total, ceil(round(0.2 * sum(n), 9)) AS n_test FROM sizes),
 share AS (SELECT label, n * n_test / total AS share, floor(n * n_test / total) AS base FROM sizes, tot),
 quota AS (SELECT label, base + (row_number() OVER (ORDER BY share - base DESC, label) <= (SELECT n_test FROM tot) - (SELECT sum(base) FROM share))::INT AS quota FROM share)"""

@@ -1,0 +1,17 @@
+"""Every core query equals its SQL on the smallest tables."""
+
+import pytest
+
+from kelpwork import queries
+from tests.compare import DATA, both
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_equals_sql(spark, name):
+    got, want = both(spark, queries.QUERIES[name], queries.ORACLE[name])
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
+def test_runs(spark, name):
+    assert queries.QUERIES[name](spark, DATA).count() > 0
