@@ -52,10 +52,11 @@ def near_codes(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     all its rows or null. Pairs with the same home are left out: their rows are linked by the cluster.
     """
     cut = F.array(*[F.struct(F.lit(i).alias("part"), F.substring("code", s, n).alias("key")) for i, (s, n) in enumerate(segments(CODE_BYTES, radius + 1))])
-    keyed = codes.withColumn("w", F.array(*_words("code"))).select("code", "train", "eval", "home", "w", F.explode(cut).alias("c")).select("code", "train", "eval", "home", "w", "c.part", "c.key")
-    a = keyed.where("train").select("part", "key", F.col("code").alias("code_a"), F.col("home").alias("home_a"), F.col("w").alias("wa"))
-    b = keyed.where("eval").select("part", "key", F.col("code").alias("code_b"), F.col("home").alias("home_b"), F.col("w").alias("wb"))
-    distance = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(CODE_BYTES // 4)), F.lit(0))
+    keyed = codes.select("code", "train", "eval", "home", F.explode(cut).alias("c")).select("code", "train", "eval", "home", "c.part", "c.key")
+    a = keyed.where("train").select("part", "key", F.col("code").alias("code_a"), F.col("home").alias("home_a"))
+    b = keyed.where("eval").select("part", "key", F.col("code").alias("code_b"), F.col("home").alias("home_b"))
+    # words are made of the pairs that meet, so that only the codes travel
+    distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(_words("code_a"), _words("code_b"))), F.lit(0))
     far_home = F.col("home_a").isNull() | F.col("home_b").isNull() | (F.col("home_a") != F.col("home_b"))
     return a.join(b, ["part", "key"]).where(far_home & (distance <= radius)).select("code_a", "code_b").distinct()
 
@@ -96,7 +97,7 @@ class SplitOverlap:
     def _classes(self) -> DataFrame:
         """Rows equal in side, cluster, path and code, in blocks of bounded size: (train, cluster, path, code, rows)."""
         keys = ["train", "cluster", "path", "code"]
-        most = self.units.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+        most = self.units.groupBy(F.xxhash64(*keys)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
         block = F.pmod(F.xxhash64("row_id"), F.lit(-(-most // BLOCK))).cast("int").alias("block")
         return self.units.groupBy(*keys, block).agg(F.collect_list("row_id").alias("rows")).drop("block")
 
