@@ -9,14 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Partial sums that meet in one task, and that may reach the driver.
+#: Partial sums that meet in one task.
 FAN_IN = 32
 
 
 def summed(table: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
     """Sum of ``part(batch)`` (of ``shape``) over the batches of ``table``, a scan of a written table.
 
-    Each task adds up its own batches; the sums of the tasks meet FAN_IN at a time until at most FAN_IN are left.
+    Each task adds up its own batches; the sums of the tasks meet FAN_IN at a time until one is left, and only that one
+    reaches the driver.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,7 +32,7 @@ def summed(table: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], shape:
 
     n = table.rdd.getNumPartitions()
     sums = table.mapInPandas(run, "total binary").select(F.floor(F.spark_partition_id() / FAN_IN).cast("long").alias("g"), "total")
-    while n > FAN_IN:
+    while n > 1:
         sums = sums.groupBy("g").applyInPandas(add, "g long, total binary")
         n = -(-n // FAN_IN)
     return sum((np.frombuffer(r.total).reshape(shape) for r in sums.select("total").collect()), np.zeros(shape))
