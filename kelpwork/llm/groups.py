@@ -75,7 +75,8 @@ def _contract_stars(edges: DataFrame, n_edges: int, seed: int, stage: Stage) ->
     limit = max(HOT_ROWS, int(n_edges * HOT_PART))
     hubs = None
     if n_edges > limit:
-        # the degrees add up to two per edge, so at most 2 / HOT_PART vertices exceed the limit
+        # the degrees add up to two per edge, so at most 2 / HOT_PART vertices exceed the limit; being fewer than HOT_ROWS,
+        # they are no hubs any more once all others are contracted
         hubs = stage.write(_both_ways(edges).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("x"), f"hubs{seed}")
         hubs = None if hubs.isEmpty() else hubs
     coin = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(2)) == 0

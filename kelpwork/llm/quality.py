@@ -266,7 +266,8 @@ def _with_distance(shares: DataFrame, n_lang: int) -> DataFrame:
             inner = sum((off[j] * F.lit(float(inverse[i, j])) for j in range(len(names))), F.lit(0.0))
             parts[s] = F.when(F.col("k") == k, off[i] * inner).otherwise(parts[s])
     out = shares.withColumns({f"from_{s}": c for s, c in parts.items()})
-    return out.withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), sum((F.col(f"from_{s}") for s in names[1:]), F.col(f"from_{names[0]}")))))
+    squared = sum((F.col(f"from_{s}") for s in names[1:]), F.col(f"from_{names[0]}"))
+    return out.withColumn("distance", F.sqrt(F.when(squared < 0, 0.0).otherwise(squared)))
 
 
 def not_prose(statistics: DataFrame, least_share: float = 0.5) -> DataFrame:
