@@ -2,9 +2,9 @@
 
 Codes within a Hamming radius r agree in at least one of r + 1 segments, so segments are the join keys and the distance
 is verified on the bits. The three kinds of link are made disjoint by construction (same cluster; same file but not the
-same cluster; near codes but neither), so the pairs need no global distinct. Rows equal in all of these are handled as
-one class; links join classes, and only the final step expands the members, in blocks, so that a class or cluster of
-any size is spread over many tasks.
+same cluster; near codes but neither), so the pairs need no global distinct. Rows of one cluster, of one file and
+cluster, or of one code and cluster are a class; links join classes, and only the final step expands the members, in
+blocks, so that a class of any size is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kelpwork.functions.text import split_of
 from kelpwork.plans.shared import Stage
+from kelpwork.plans.skew import hot_lookup
 
 RADIUS = 6
 CODE_BYTES = 32
@@ -61,21 +62,39 @@ def near_codes(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return a.join(b, ["part", "key"]).where(far_home & (distance <= radius)).select("code_a", "code_b").distinct()
 
 
-def _expanded(links: DataFrame) -> DataFrame:
-    """Rows of links between arrays ``a`` and ``b`` as pairs of row ids, smaller first."""
-    return links.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b")).select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b"))
+def _cluster_key() -> Column:
+    """The cluster as text, empty for none; two rows without a cluster are not in the same one."""
+    return F.when(F.col("cluster").isNull(), "").otherwise(F.concat(F.lit("c"), F.col("cluster").cast("string"))).alias("home")
 
 
-def _within(units: DataFrame, key: str) -> DataFrame:
-    """All train x eval pairs of row ids that share ``key``; blocks of members meet under a key of their own."""
-    sizes = units.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_eval")).where("n_train > 0 AND n_eval > 0")
-    blocks = sizes.select("key", F.ceil(F.col("n_train") / BLOCK).cast("int").alias("n_i"), F.ceil(F.col("n_eval") / BLOCK).cast("int").alias("n_j"))
-    members = units.select(F.col(key).alias("key"), "train", "row_id").join(blocks, "key")
-    spread = lambda n: F.pmod(F.xxhash64("row_id"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = members.where("train").withColumn("i", spread("n_i")).groupBy("key", "i", "n_j").agg(F.collect_list("row_id").alias("a")).withColumn("j", upto("n_j"))
-    b = members.where("NOT train").withColumn("j", spread("n_j")).groupBy("key", "j", "n_i").agg(F.collect_list("row_id").alias("b")).withColumn("i", upto("n_i"))
-    return _expanded(a.join(b, ["key", "i", "j"]))
+def _not_same(a: str, b: str) -> Column:
+    return (F.col(a) == "") | (F.col(a) != F.col(b))
+
+
+def _expanded(links: DataFrame, units: DataFrame, key: Column, n_units: int, other_path: bool = False) -> DataFrame:
+    """Pairs of row ids, smaller first, of the classes that ``links`` (ka, na, kb, nb) joins: ka of train rows, kb of
+    others, with their numbers of rows. ``key`` gives the class of a row.
+
+    Members are put together in blocks, and each pair of blocks is a row of its own when it is expanded, wherever it
+    falls by hash: a class of any size is spread over as many tasks as its pairs need.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    members = units.select("train", key.alias("k"), F.struct("row_id", "path").alias("row"))
+
+    def side(train: bool, k: str, n: str, place: str, rows: str) -> DataFrame:
+        wanted = links.select(F.col(k).alias("k"), blocks(n).alias("__n")).distinct()
+        held = hot_lookup(members.where(F.col("train") == train), "k", wanted, n_units, "inner")
+        at = F.pmod(F.xxhash64("row.row_id"), F.col("__n")).cast("int").alias(place)
+        return held.groupBy(F.col("k").alias(k), at).agg(F.collect_list("row").alias(rows))
+
+    met = links.select("ka", "kb", F.explode(F.sequence(F.lit(0), blocks("na") - 1)).alias("i"), blocks("nb").alias("n_j"))
+    met = met.select("ka", "kb", "i", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"))
+    met = met.join(side(True, "ka", "na", "i", "a"), ["ka", "i"]).join(side(False, "kb", "nb", "j", "b"), ["kb", "j"])
+    met = met.repartition("ka", "i", "kb", "j").select("a", "b")
+    pairs = met.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
+    if other_path:
+        pairs = pairs.where(F.col("a.path").isNull() | F.col("b.path").isNull() | (F.col("a.path") != F.col("b.path")))
+    return pairs.select(F.least("a.row_id", "b.row_id").alias("row_a"), F.greatest("a.row_id", "b.row_id").alias("row_b"))
 
 
 class SplitOverlap:
@@ -94,27 +113,31 @@ class SplitOverlap:
         codes = prints.where(F.octet_length("fp") == CODE_BYTES).groupBy(F.col("row_idx").cast("long").alias("row_id")).agg(F.min("fp").alias("code"))
         self.units = self.stage.write(one.join(codes, "row_id", "left").withColumn("train", F.col("split") == "train"), "units")
 
-    def _classes(self) -> DataFrame:
-        """Rows equal in side, cluster, path and code, in blocks of bounded size: (train, cluster, path, code, rows)."""
-        keys = ["train", "cluster", "path", "code"]
-        most = self.units.groupBy(F.xxhash64(*keys)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-        block = F.pmod(F.xxhash64("row_id"), F.lit(-(-most // BLOCK))).cast("int").alias("block")
-        return self.units.groupBy(*keys, block).agg(F.collect_list("row_id").alias("rows")).drop("block")
-
     def pairs(self) -> DataFrame:
         """``(row_a, row_b)``: every pair of a train row and a val or test row that is linked, smaller id first, once."""
-        by_cluster = _within(self.units, "cluster")
-        home = F.when((F.min("cluster") == F.max("cluster")) & (F.count("cluster") == F.count(F.lit(1))), F.min("cluster"))
-        codes = self.units.where("code IS NOT NULL").groupBy("code").agg(F.bool_or("train").alias("train"), F.bool_or(~F.col("train")).alias("eval"), home.alias("home"))
-        near = self.stage.write(near_codes(self.stage.write(codes, "codes"), self.radius), "near")
-        classes = self.stage.write(self._classes(), "classes")
-        side = lambda train, x: classes.where(F.col("train") == train).select(*[F.col(c).alias(f"{c}_{x}") for c in ("cluster", "path", "code")], F.col("rows").alias(x))
-        a, b = side(True, "a"), side(False, "b")
-        other_cluster = F.col("cluster_a").isNull() | F.col("cluster_b").isNull() | (F.col("cluster_a") != F.col("cluster_b"))
-        other_path = F.col("path_a").isNull() | F.col("path_b").isNull() | (F.col("path_a") != F.col("path_b"))
-        by_path = a.join(b, (F.col("path_a") == F.col("path_b")) & other_cluster).select("a", "b")
-        by_code = near.join(a, "code_a").join(b, "code_b").where(other_cluster & other_path).select("a", "b")
-        return by_cluster.unionByName(_expanded(by_path)).unionByName(_expanded(by_code))
+        units, n_units = self.units, self.units.count()
+        numbers = [F.count_if("train").alias("na"), F.count_if(~F.col("train")).alias("nb")]
+        home = _cluster_key()
+
+        by_cluster = units.where("cluster IS NOT NULL").groupBy(home.alias("ka")).agg(*numbers).where("na > 0 AND nb > 0").withColumn("kb", F.col("ka"))
+
+        def classes(kind: str, part: DataFrame, train: bool, x: str) -> DataFrame:
+            n = "na" if train else "nb"
+            return part.where(f"{n} > 0").select(F.col(kind).alias(f"{kind}_{x}"), F.struct(kind, "home").alias(f"k{x}"), n, F.col("home").alias(f"home_{x}"))
+
+        # rows of one file, or of one code, by cluster: pairs within a cluster are never made
+        files = self.stage.write(units.where("path IS NOT NULL").groupBy("path", home).agg(*numbers), "files")
+        by_path = classes("path", files, True, "a").join(classes("path", files, False, "b").withColumnRenamed("path_b", "path_a"), "path_a").where(_not_same("home_a", "home_b"))
+
+        prints = self.stage.write(units.where("code IS NOT NULL").groupBy("code", home).agg(*numbers), "prints")
+        codes = prints.groupBy("code").agg((F.sum("na") > 0).alias("train"), (F.sum("nb") > 0).alias("eval"), F.when((F.count(F.lit(1)) == 1) & (F.min("home") != ""), F.min("home")).alias("home"))
+        near = near_codes(codes, self.radius)
+        by_code = near.join(classes("code", prints, True, "a"), "code_a").join(classes("code", prints, False, "b"), "code_b").where(_not_same("home_a", "home_b"))
+
+        links = [self.stage.write(x.select("ka", "na", "kb", "nb"), name) for x, name in ((by_cluster, "by_cluster"), (by_path, "by_path"), (by_code, "by_code"))]
+        out = _expanded(links[0], units, home, n_units)
+        out = out.unionByName(_expanded(links[1], units.where("path IS NOT NULL"), F.struct("path", home), n_units))
+        return out.unionByName(_expanded(links[2], units.where("code IS NOT NULL"), F.struct("code", home), n_units, other_path=True))
 
     def report(self) -> DataFrame:
         """Per eval split and source: rows of that split and source, how many of them also occur in train, and pairs.
