@@ -20,6 +20,8 @@ RADIUS = 6
 CODE_BYTES = 32
 #: Members of one block at the expansion.
 BLOCK = 4096
+#: Pairs that a task of the expansion makes, about.
+TASK_PAIRS = 20_000_000
 
 
 def file_key(path: Column) -> Column:
@@ -79,7 +81,10 @@ def _expanded(links: DataFrame, units: DataFrame, key: Column, n_units: int, oth
     falls by hash: a class of any size is spread over as many tasks as its pairs need.
     """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    members = units.select("train", key.alias("k"), F.struct("row_id", "path").alias("row"))
+    row = F.struct("row_id", "path") if other_path else F.struct("row_id")
+    members = units.select("train", key.alias("k"), row.alias("row"))
+    n_pairs = links.agg(F.sum(F.col("na").cast("double") * F.col("nb"))).first()[0] or 0
+    parts = int(min(100_000, max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_pairs // TASK_PAIRS)))
 
     def side(train: bool, k: str, n: str, place: str, rows: str) -> DataFrame:
         wanted = links.select(F.col(k).alias("k"), blocks(n).alias("__n")).distinct()
@@ -90,7 +95,7 @@ def _expanded(links: DataFrame, units: DataFrame, key: Column, n_units: int, oth
     met = links.select("ka", "kb", F.explode(F.sequence(F.lit(0), blocks("na") - 1)).alias("i"), blocks("nb").alias("n_j"))
     met = met.select("ka", "kb", "i", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"))
     met = met.join(side(True, "ka", "na", "i", "a"), ["ka", "i"]).join(side(False, "kb", "nb", "j", "b"), ["kb", "j"])
-    met = met.repartition("ka", "i", "kb", "j").select("a", "b")
+    met = met.repartition(parts, "ka", "i", "kb", "j").select("a", "b")  # few bytes make many pairs, so the number is given
     pairs = met.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
     if other_path:
         pairs = pairs.where(F.col("a.path").isNull() | F.col("b.path").isNull() | (F.col("a.path") != F.col("b.path")))
