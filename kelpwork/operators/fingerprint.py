@@ -19,8 +19,11 @@ def text_fingerprint(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     A word is a run of other characters than blank, tab, LF, FF or CR in the lower-case text; its bucket is the first
     byte of its md5. Null texts have null bits; a text without words has no bit set. ``doc_id`` must be unique.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), "[ \t\n\f\r]+"), lambda w: F.length(w) > 0)
-    rows = docs.select(F.col(doc_id).alias("row_idx"), words.alias("words"), F.col(text).isNull().alias("unread"))
+    words = F.filter(F.split(F.lower("text"), "[ \t\n\f\r]+"), lambda w: F.length(w) > 0)
+    # texts move once, to a given number of tasks; all that follows is grouped by row_idx and stays where it is
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = docs.select(F.col(doc_id).alias("row_idx"), F.col(text).alias("text")).repartition(parts, "row_idx")
+    rows = placed.select("row_idx", words.alias("words"), F.col("text").isNull().alias("unread"))
     bucket = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int")
     counts = rows.select("row_idx", F.explode("words").alias("word")).groupBy("row_idx", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     held = counts.groupBy("row_idx").agg(F.array_sort(F.collect_list("n")).alias("ns"), F.collect_list(F.struct("bucket", "n")).alias("held"))
