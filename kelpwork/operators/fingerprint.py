@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpwork.operators.decoders import NoDecoder
+
 HASH_SIZE = 16
 BITS = HASH_SIZE * HASH_SIZE
 
@@ -71,7 +73,8 @@ def perceptual_hash(gray: np.ndarray, hash_size: int = HASH_SIZE) -> bytes:
 
 
 def image_fingerprint(images: DataFrame, key: str, decode, content: str = "content", hash_size: int = HASH_SIZE, num_partitions: int | None = None) -> DataFrame:
-    """``(key, fp)`` of the images whose bytes stand in ``content``; fp is null where ``decode`` fails for any reason.
+    """``(key, fp)`` of the images whose bytes stand in ``content``; fp is null where ``decode`` fails, unless
+    for want of a decoder (``NoDecoder``), which ends the run.
 
     ``decode`` takes bytes and returns a gray array. ``num_partitions`` sets the parallelism of the hashing.
     """
@@ -82,6 +85,8 @@ def image_fingerprint(images: DataFrame, key: str, decode, content: str = "conte
             for data in pdf["content"]:
                 try:
                     codes.append(perceptual_hash(decode(data), hash_size))
+                except NoDecoder:
+                    raise
                 except Exception:  # an unreadable image is counted, not raised
                     codes.append(None)
             yield pd.DataFrame({"key": pdf["key"], "fp": codes})

@@ -1,4 +1,4 @@
-"""Pixels: decoding, resizing, cropping, normalising, augmenting. The only Python on the way of image data."""
+"""Pixels: decoding, resizing, cropping, normalising, augmenting. With ``decoders`` the only Python on the way of image data."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpwork.operators.decoders import NoDecoder, decode
+
 #: Channel means and deviations of the usual pretraining images.
 MEAN = (0.485, 0.456, 0.406)
 STD = (0.229, 0.224, 0.225)
@@ -85,24 +87,46 @@ def decode_png(data: bytes) -> np.ndarray:
 
 
 def decode_pnm(data: bytes) -> np.ndarray:
-    """Binary PGM or PPM with 8 bits."""
+    """PBM, PGM or PPM, plain or binary, of up to 16 bits, as 8 bits."""
     kind, rest, numbers = data[:2], data[2:], []
-    channels = {b"P5": 1, b"P6": 3}[kind]
-    while len(numbers) < 3:
+    channels = {b"P1": 1, b"P2": 1, b"P3": 3, b"P4": 1, b"P5": 1, b"P6": 3}[kind]
+    bitmap = kind in (b"P1", b"P4")
+    while len(numbers) < 3 - bitmap:
         rest = rest.lstrip()
         if rest.startswith(b"#"):
             rest = rest.partition(b"\n")[2]
             continue
-        word = rest.split(maxsplit=1)[0]
+        word = rest[:20].split(maxsplit=1)[0]
         numbers.append(int(word))
         rest = rest[len(word) :]
-    width, height, _ = numbers
-    pixels = np.frombuffer(rest[1 : 1 + width * height * channels], np.uint8).reshape(height, width, channels)
+    (width, height), full = numbers[:2], 1 if bitmap else numbers[2]
+    n = width * height * channels
+    if kind == b"P4":
+        line = -(-width // 8)
+        pixels = np.unpackbits(np.frombuffer(rest[1 : 1 + line * height], np.uint8).reshape(height, line), axis=1)[:, :width]
+    elif kind == b"P1":
+        pixels = np.frombuffer(bytes(b"".join(x.partition(b"#")[0] for x in rest.split(b"\n")).translate(None, b" \t\r\v\f")[:n]), np.uint8) - ord("0")
+    elif kind in (b"P2", b"P3"):
+        pixels = np.array(b" ".join(x.partition(b"#")[0] for x in rest.split(b"\n")).split()[:n], dtype=int)
+    else:
+        wide = 1 if full < 256 else 2
+        pixels = np.frombuffer(rest[1 : 1 + n * wide], ">u2" if wide == 2 else np.uint8)
+    pixels = pixels.reshape(height, width, channels)
+    if bitmap:
+        pixels = 1 - pixels
+    if full != 255:
+        pixels = np.minimum((pixels * (255 / full)).round(), 255)
+    pixels = pixels.astype(np.uint8)
     return pixels[:, :, 0] if channels == 1 else pixels
 
 
 def decode_any(data: bytes) -> np.ndarray:
-    return decode_pnm(data) if data[:1] == b"P" else decode_png(data)
+    """Gray or RGB; raises ``NoDecoder`` for a format that nothing here reads, another error for a bad picture."""
+    if data[:1] == b"P" and data[1:2] in b"123456":
+        return decode_pnm(data)
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and data[24:25] == b"\x08" and data[25:26] in b"\0\2\4\6" and data[28:29] == b"\0":
+        return decode_png(data)
+    return decode(data)
 
 
 def to_gray(pixels: np.ndarray) -> np.ndarray:
@@ -198,6 +222,8 @@ def _tensors(images: DataFrame, key: str, decode, content: str, transform) -> Da
             for k, data in zip(pdf["key"], pdf["content"]):
                 try:
                     out.append(transform(decode(data), k).ravel())
+                except NoDecoder:
+                    raise
                 except Exception:  # as for fingerprints
                     out.append(None)
             yield pd.DataFrame({"key": pdf["key"], "tensor": out})

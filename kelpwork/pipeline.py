@@ -37,7 +37,7 @@ def run(spark: SparkSession, config: dict, config_path: str = "", force: bool =
     if scanned.isEmpty():
         raise SystemExit(f"no images below {data['train_root']}")
     settings = {"hash_size": dedup.get("hash_size", 16), "threshold": dedup.get("hamming_threshold", 6), "num_bands": dedup.get("num_bands")}
-    key = cache_key(scanned, settings | {"version": 1})
+    key = cache_key(scanned, settings | {"version": 2})
     make = lambda: cluster(scanned, workers=dedup.get("num_workers"), **settings)
     clustered, hit = cached(spark, output_path(config, dedup.get("cache", "clusters")), key, make, force)
     kept = clustered.where("fp IS NOT NULL").drop("fp")
