@@ -2,7 +2,7 @@
 
 Latent semantic retrieval. Passages are windows of WINDOW words at every position, on both sides. Words that no item has
 tell nothing about items, so a corpus window counts as a passage from MIN_KNOWN words of the items' vocabulary on; this
-loses no window that equals one of an item. The distinct corpus passages, weighted by TF-IDF with frequencies from all
+loses no window that could be accepted, since MIN_COMMON words in order must be known. The distinct corpus passages, weighted by TF-IDF with frequencies from all
 documents, give the latent space by a distributed randomised SVD. Corpus passages near an item's in that space (cosine)
 are candidates; they are compared with it by longest common subsequence and by the words that single the item out.
 
@@ -26,12 +26,14 @@ from kelpwork.plans.shared import Stage
 from kelpwork.plans.skew import hot_lookup
 
 WINDOW = 13
-MIN_KNOWN = 10
 RANK = 64
 OVERSAMPLED = 8
 COSINE = 0.8
 #: An altered passage shares so many words in order with the item's, and this part of its telling words.
 MIN_COMMON = 9
+MIN_KNOWN = MIN_COMMON
+#: Passages from so many known words on shape the latent space; all are searched in it.
+SPACE_KNOWN = 10
 MIN_ANSWER = 0.5
 #: Items are searched for in blocks of so many; vocabulary and item vectors of one block are what tasks are sent.
 ITEM_BLOCK = 2_000
@@ -121,7 +123,11 @@ def _gram_times(windows: np.ndarray, idf: np.ndarray, q: np.ndarray) -> np.ndarr
 
 
 def _distributed_gram(passages: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return summed(passages, lambda pdf: _gram_times(_unpacked(pdf["ids"]), idf, q), q.shape)
+    def part(pdf: pd.DataFrame) -> np.ndarray:
+        windows = _unpacked(pdf["ids"])
+        return _gram_times(windows[(windows >= 0).sum(1) >= SPACE_KNOWN], idf, q)
+
+    return summed(passages, part, q.shape)
 
 
 def latent_space(passages: DataFrame, items: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 0) -> Space:
