@@ -132,6 +132,7 @@ def cluster_size_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _allocated(spark: SparkSession, sf: str, **how) -> DataFrame:
+    """As the SQL has it, sizes are of labelled rows only, also without stratifying; clusters of unlabelled rows get no split."""
     rows = _rows(spark, sf).where("label IS NOT NULL")
     return allocate.allocate(allocate.cluster_summary(rows), **how)
 
