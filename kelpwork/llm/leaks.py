@@ -35,7 +35,7 @@ MIN_KNOWN = MIN_COMMON
 #: Passages from so many known words on shape the latent space; all are searched in it.
 SPACE_KNOWN = 10
 MIN_ANSWER = 0.5
-#: Items are searched for in blocks of so many; vocabulary and item vectors of one block are what tasks are sent.
+#: Items are searched for in blocks of so many rows, and the further ones of the last id; vocabulary and item vectors of one block are what tasks are sent.
 ITEM_BLOCK = 2_000
 #: Rows of the dense products.
 ROWS = 1_024
@@ -190,11 +190,15 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     while True:
         later = wanted if last is None else wanted.where(F.col("item_id") > last)
         held = later.orderBy("item_id").limit(ITEM_BLOCK).collect()
+        full = len(held) == ITEM_BLOCK
+        if full:  # the limit may have cut the rows of the last id
+            end = held[-1].item_id
+            held = [r for r in held if r.item_id != end] + wanted.where(F.col("item_id") == end).collect()
         if not held and out is not None:
             return out
         found = _leaked_block(rows, [(r.item_id, words(r.passage)) for r in held], stage, block)
         out = found if out is None else out.unionByName(found)
-        if len(held) < ITEM_BLOCK:
+        if not full:
             return out
         last, block = held[-1].item_id, block + 1
 

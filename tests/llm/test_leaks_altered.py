@@ -1,3 +1,4 @@
+from kelpwork.llm import leaks
 from kelpwork.llm.leaks import leaked_items
 
 
@@ -9,3 +10,11 @@ def test_nine_known_words(spark):
     items = spark.createDataFrame([(1, " ".join(item))], "item_id long, passage string")
     got = {r.doc_id: r for r in leaked_items(docs, items).collect()}
     assert set(got) == {1, 2} and (got[1].exact, got[1].common) == (False, 9) and got[2].exact
+
+
+def test_passages_of_one_id_beyond_a_block(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 2)
+    texts = [" ".join(f"wort{k}x{i}" for i in range(13)) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, t) for t in texts], "item_id long, passage string")
+    assert sorted((r.doc_id, r.item_id) for r in leaked_items(docs, items).where("exact").collect()) == [(0, 7), (1, 7), (2, 7)]
