@@ -109,7 +109,7 @@ def allocate(clusters: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: in
     rows = clusters.select("cluster_id", "n", (F.col("dominant_label") if stratify else F.lit("")).alias("class"))
     if generator == "pcg64":
         first = rows.groupBy("class").agg(F.min("cluster_id").alias("first"))
-        placed = numbered(rows.join(F.broadcast(first), "class"), [F.col("first"), F.col("cluster_id")], "pos").drop("first")
+        placed = numbered(hot_lookup(rows, "class", first, rows.count(), "inner"), [F.col("first"), F.col("cluster_id")], "pos").drop("first")
         types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema if f.name != "pos")
         rows = placed.mapInPandas(_uniforms(seed), f"{types}, tie string")
     else:

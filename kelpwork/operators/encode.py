@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpwork.functions.text import hash_order
@@ -29,11 +29,15 @@ def row_at(rows: DataFrame, row_idx: int, column: str = "row_idx") -> DataFrame:
     return rows.where(F.col(column) == row_idx)
 
 
-def batches(rows: DataFrame, row_id: str, size: int, train: bool, seed: int = 0) -> DataFrame:
-    """Adds ``batch_id``. For training rows are shuffled by hash and the last partial batch is dropped; else they keep the
-    order of ``row_id``, which must be unique, and all batches stay."""
-    order = [hash_order(seed, F.col(row_id)), F.col(row_id)] if train else [F.col(row_id)]
+def batches_in(rows: DataFrame, order: Sequence[Column], size: int, drop_last: bool) -> DataFrame:
+    """Adds ``batch_id`` by position in ``order``; with ``drop_last`` a last partial batch is left out."""
     out = numbered(rows, order, "__pos")
-    if train:
+    if drop_last:
         out = out.where(F.col("__pos") < out.count() // size * size)
     return out.withColumn("batch_id", F.floor(F.col("__pos") / size).cast("long")).drop("__pos")
+
+
+def batches(rows: DataFrame, row_id: str, size: int, train: bool, seed: int = 0) -> DataFrame:
+    """Adds ``batch_id``. For training rows are shuffled by hash and the last partial batch is dropped; else they keep the
+    order of ``row_id``, which must be unique, and all batches stay."""
+    return batches_in(rows, [hash_order(seed, F.col(row_id)), F.col(row_id)] if train else [F.col(row_id)], size, train)

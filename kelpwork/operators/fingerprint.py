@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,36 +16,50 @@ HASH_SIZE = 16
 BITS = HASH_SIZE * HASH_SIZE
 
 
+def _bits_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        buckets = batch.column(1)
+        lengths = np.where(buckets.is_valid(), np.diff(buckets.offsets.to_numpy()), 0)
+        row = np.repeat(np.arange(len(batch)), lengths)
+        flat = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        bits = []
+        for at in range(0, len(batch), 4_096):  # the counts of a slice are 8 MB
+            here = (row >= at) & (row < at + 4_096)
+            n = min(4_096, len(batch) - at)
+            counts = np.bincount((row[here] - at) * BITS + flat[here], minlength=n * BITS).reshape(n, BITS)
+            above = counts > np.median(counts, axis=1, keepdims=True)
+            bits += [x.tobytes().decode("ascii") for x in (above + ord("0")).astype(np.uint8)]
+        held = [x if ok else None for x, ok in zip(bits, buckets.is_valid().to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.string())], ["row_idx", "bits"])
+
+
 def text_fingerprint(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(row_idx, bits)``: bit i is set if bucket i of 256 holds more of the text's words than the median bucket.
 
     A word is a run of other characters than blank, tab, LF, FF or CR in the lower-case text; its bucket is the first
-    byte of its md5. Null texts have null bits; a text without words has no bit set. ``doc_id`` must be unique.
+    byte of its md5. Null texts have null bits; a text without words has no bit set; repeated rows stay. Nothing is
+    shuffled: words are cut and hashed in the JVM, and only bucket numbers go to Python, to be counted.
     """
-    words = F.filter(F.split(F.lower("text"), "[ \t\n\f\r]+"), lambda w: F.length(w) > 0)
-    # texts move once, to a given number of tasks; all that follows is grouped by row_idx and stays where it is
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.select(F.col(doc_id).alias("row_idx"), F.col(text).alias("text")).repartition(parts, "row_idx")
-    rows = placed.select("row_idx", words.alias("words"), F.col("text").isNull().alias("unread"))
-    bucket = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int")
-    counts = rows.select("row_idx", F.explode("words").alias("word")).groupBy("row_idx", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    held = counts.groupBy("row_idx").agg(F.array_sort(F.collect_list("n")).alias("ns"), F.collect_list(F.struct("bucket", "n")).alias("held"))
-    # the empty buckets come first in the order of all 256
-    ranked = lambda i: F.coalesce(F.get("ns", F.when(F.size("ns") >= BITS - i, F.size("ns") - (BITS - i))), F.lit(0))
-    median = (ranked(BITS // 2 - 1) + ranked(BITS // 2)) / 2
-    above = held.select("row_idx", median.alias("median"), F.explode("held").alias("b")).where(F.col("b.n") > F.col("median")).groupBy("row_idx").agg(F.collect_set("b.bucket").alias("set"))
-    bits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.when(F.array_contains("set", i), "1").otherwise("0")), "")
-    read = above.select("row_idx", bits.alias("bits"))
-    return rows.select("row_idx", "unread").join(read, "row_idx", "left").select("row_idx", F.when(~F.col("unread"), F.coalesce("bits", F.lit("0" * BITS))).alias("bits"))
-
-
-def words32(code: Column, n_bytes: int = BITS // 8) -> list[Column]:
-    """A binary code as 32-bit words in BIGINT."""
-    return [F.conv(F.hex(F.substring(code, 4 * i + 1, 4)), 16, 10).cast("long") for i in range(n_bytes // 4)]
+    words = F.filter(F.split(F.lower(F.col(text)), "[ \t\n\f\r]+"), lambda w: F.length(w) > 0)
+    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("short"))
+    rows = docs.select(F.col(doc_id).alias("row_idx"), buckets.alias("buckets"))
+    return rows.mapInArrow(_bits_of_buckets, f"row_idx {rows.schema['row_idx'].dataType.simpleString()}, bits string")
+
+
+def words64(code: Column, n_bytes: int = BITS // 8) -> list[Column]:
+    """A binary code as 64-bit words."""
+    return [F.conv(F.hex(F.substring(code, 8 * i + 1, 8)), 16, -10).cast("long") for i in range(-(-n_bytes // 8))]
+
+
+def distance_of(a: list[Column], b: list[Column]) -> Column:
+    """Number of differing bits of two codes given as words."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
 
 
 def bit_string(code: Column, n_bytes: int = BITS // 8) -> Column:
-    return F.concat(*[F.lpad(F.bin(w), 32, "0") for w in words32(code, n_bytes)])
+    """The bits of the first ``n_bytes`` of a code as text."""
+    part = lambda at, n: F.lpad(F.conv(F.hex(F.substring(code, at + 1, n)), 16, 2), 8 * n, "0")
+    return F.concat(*[part(at, min(8, n_bytes - at)) for at in range(0, n_bytes, 8)])
 
 
 def _area_resize(gray: np.ndarray, size: int) -> np.ndarray:
@@ -98,10 +113,6 @@ def image_fingerprint(images: DataFrame, key: str, decode, content: str = "conte
     return rows.mapInPandas(run, f"key {kind}, fp binary").withColumnRenamed("key", key)
 
 
-def readable(prints: DataFrame) -> DataFrame:
-    return prints.where("fp IS NOT NULL")
-
-
 def n_dropped(prints: DataFrame) -> DataFrame:
     """``(scanned, dropped, kept)``."""
     return prints.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("fp").isNull()).alias("dropped"), F.count("fp").alias("kept"))

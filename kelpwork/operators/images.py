@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,11 +27,6 @@ def normalized(values: Column, mean: Sequence[float], std: Sequence[float], chan
     return F.transform(values, lambda x, i: (x.cast("double") - F.get(m, channel(i))) / F.get(s, channel(i)))
 
 
-def scaled(values: Column) -> Column:
-    """Bytes 0..255 as fractions."""
-    return F.transform(values, lambda x: x.cast("double") / 255.0)
-
-
 def gray_bytes(values: Column) -> Column:
     """An array of numbers as bytes: each clipped to -3..3 and spread over 0..255."""
     byte = lambda x: F.lpad(F.hex(F.floor((F.greatest(F.lit(-3.0), F.least(F.lit(3.0), x.cast("double"))) + 3.0) * 42.5).cast("int")), 2, "0")
@@ -63,27 +59,37 @@ def decode_png(data: bytes) -> np.ndarray:
     if depth != 8 or interlace:
         raise ValueError("only 8 bits without interlacing")
     raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
-    out, before = np.zeros((height, width * channels), np.int32), np.zeros(width * channels, np.int32)
+    out, before = np.zeros((height, width, channels), np.uint8), np.zeros((width, channels), np.uint8)
     for y in range(height):
-        line, kind = raw[y, 1:].astype(np.int32), raw[y, 0]
-        if kind == 2:
-            line = (line + before) % 256
-        elif kind in (1, 3, 4):
-            for x in range(len(line)):
-                left = line[x - channels] if x >= channels else 0
-                corner = before[x - channels] if x >= channels else 0
-                up = before[x]
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-                line[x] = (line[x] + guess) % 256
+        line, kind = raw[y, 1:].reshape(width, channels), raw[y, 0]
+        if kind == 1:  # each channel is a running sum
+            line = np.cumsum(line, axis=0, dtype=np.uint8)
+        elif kind == 2:
+            line = line + before
+        elif kind in (3, 4):
+            line = _from_left(line.tolist(), before.tolist(), kind)
         out[y] = before = line
-    pixels = out.reshape(height, width, channels).astype(np.uint8)
-    return pixels[:, :, 0] if channels <= 2 else pixels[:, :, :3]
+    return out[:, :, 0] if channels <= 2 else out[:, :, :3]
+
+
+def _from_left(line: list[list[int]], above: list[list[int]], kind: int) -> list[list[int]]:
+    """Undoes the two filters in which a pixel depends on the one before it in a way that has no closed form."""
+    left = corner = [0] * len(line[0])
+    out = []
+    for sent, up in zip(line, above):
+        if kind == 3:
+            left = [(s + (a + b) // 2) & 255 for s, a, b in zip(sent, left, up)]
+        else:
+            left = [(s + _paeth(a, b, c)) & 255 for s, a, b, c in zip(sent, left, up, corner)]
+        out.append(left)
+        corner = up
+    return out
+
+
+def _paeth(left: int, up: int, corner: int) -> int:
+    """Of the three neighbours the one nearest to left + up - corner; of equal ones the first."""
+    away = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+    return (left, up, corner)[away.index(min(away))]
 
 
 def decode_pnm(data: bytes) -> np.ndarray:
@@ -186,47 +192,149 @@ def _rotate(pixels: np.ndarray, degrees: float) -> np.ndarray:
     return np.where(inside[:, :, None], pixels[np.clip(v, 0, h - 1), np.clip(u, 0, w - 1)], 0)
 
 
-def train_transform(pixels: np.ndarray, rng: np.random.Generator, size: int = 224, scale: tuple[float, float] = (0.7, 1.0), degrees: float = 10, jitter: float = 0.2, num_ops: int = 2, magnitude: int = 7) -> np.ndarray:
-    """Random resized crop, rotation, colour jitter, ``num_ops`` random operations of ``magnitude``; never a flip."""
+def _affine(pixels: np.ndarray, shear_x: float = 0, shear_y: float = 0, right: float = 0, down: float = 0) -> np.ndarray:
+    """Nearest pixels of a shear about the centre and a shift; what comes from outside is black."""
+    h, w = pixels.shape[:2]
+    y, x = np.mgrid[:h, :w]
+    u = np.round(x - right - shear_x * (y - (h - 1) / 2)).astype(int)
+    v = np.round(y - down - shear_y * (x - (w - 1) / 2)).astype(int)
+    inside = (v >= 0) & (v < h) & (u >= 0) & (u < w)
+    return np.where(inside[:, :, None], pixels[np.clip(v, 0, h - 1), np.clip(u, 0, w - 1)], 0)
+
+
+def _blend(pixels: np.ndarray, other: np.ndarray | float, factor: float) -> np.ndarray:
+    return np.clip(other + (pixels - other) * factor, 0, 255)
+
+
+def _smooth(pixels: np.ndarray) -> np.ndarray:
+    """Means over 3 x 3 with a heavy centre (5 of 13); the border stays."""
+    out = pixels.copy()
+    if min(pixels.shape[:2]) > 2:
+        h, w = pixels.shape[:2]
+        parts = [pixels[i : h - 2 + i, j : w - 2 + j] for i in range(3) for j in range(3)]
+        out[1:-1, 1:-1] = (sum(parts) + 4 * parts[4]) / 13
+    return out
+
+
+def _stretched(pixels: np.ndarray) -> np.ndarray:
+    """Each channel spread over 0..255."""
+    low, high = pixels.min((0, 1)), pixels.max((0, 1))
+    return np.where(high > low, (pixels - low) * (255 / np.maximum(high - low, 1e-9)), pixels)
+
+
+def _equalized(pixels: np.ndarray) -> np.ndarray:
+    """Each channel's values replaced by their share of smaller or equal ones."""
+    out = np.empty_like(pixels)
+    for c in range(pixels.shape[2]):
+        values = np.clip(pixels[:, :, c], 0, 255).astype(int)
+        up_to = np.cumsum(np.bincount(values.ravel(), minlength=256))
+        first = up_to[values.min()]
+        out[:, :, c] = pixels[:, :, c] if first == values.size else ((up_to - first) * 255 / (values.size - first))[values]
+    return out
+
+
+#: The range of each random operation at the full magnitude of 30.
+FULL = {"shear": 0.3, "shift": 150 / 331, "degrees": 30, "factor": 0.9, "bits": 4}
+
+
+def _operations(size: int, level: float, sign: float) -> list[Callable[[np.ndarray], np.ndarray]]:
+    """The fourteen random operations at ``level`` 0..1; ``sign`` is the direction of those that have one."""
+    at = {k: v * level for k, v in FULL.items()}
+    factor, step = 1 + sign * at["factor"], 2.0 ** round(at["bits"])
+    return [
+        lambda p: p,
+        lambda p: _affine(p, shear_x=sign * at["shear"]),
+        lambda p: _affine(p, shear_y=sign * at["shear"]),
+        lambda p: _affine(p, right=sign * at["shift"] * size),
+        lambda p: _affine(p, down=sign * at["shift"] * size),
+        lambda p: _rotate(p, sign * at["degrees"]),
+        lambda p: _blend(p, 0.0, factor),
+        lambda p: _blend(p, to_gray(p)[:, :, None], factor),
+        lambda p: _blend(p, to_gray(p).mean(), factor),
+        lambda p: _blend(p, _smooth(p), factor),
+        lambda p: np.floor(p / step) * step,
+        lambda p: np.where(p >= 255 * (1 - level), 255 - p, p),
+        _stretched,
+        _equalized,
+    ]
+
+
+def _hue_turned(pixels: np.ndarray, turn: float) -> np.ndarray:
+    """Colours with their hue moved by ``turn`` of the circle; brightness and saturation stay."""
+    if not turn:
+        return pixels
+    high, low = pixels.max(2), pixels.min(2)
+    span = np.maximum(high - low, 1e-9)
+    r, g, b = pixels[:, :, 0], pixels[:, :, 1], pixels[:, :, 2]
+    sixth = np.where(high == r, (g - b) / span % 6, np.where(high == g, (b - r) / span + 2, (r - g) / span + 4))
+    at = (sixth + 6 * turn) % 6
+    near = [np.clip(np.abs((at - k + 3) % 6 - 3) - 1, 0, 1) for k in (0, 2, 4)]  # 0 within a sixth of the pure colour
+    return np.dstack([high - (high - low) * n for n in near])
+
+
+@dataclass(frozen=True)
+class Augmentation:
+    """Settings of the training transform. The defaults hold where a configuration has no ``augmentation``; of one that
+    has, an absent rotation is 0, an absent part of the jitter 0 and an absent magnitude 9. A flip is never made."""
+
+    scale: tuple[float, float] = (0.7, 1.0)
+    degrees: float = 10
+    brightness: float = 0.2
+    contrast: float = 0.2
+    saturation: float = 0.2
+    hue: float = 0.0
+    num_ops: int = 2
+    magnitude: int = 7
+
+    @classmethod
+    def of(cls, config: dict) -> Augmentation:
+        held = config.get("augmentation")
+        if not held:
+            return cls()
+        jitter, random = held.get("color_jitter") or {}, held.get("rand_augment") or {}
+        parts = [float(jitter.get(k, 0.0)) for k in ("brightness", "contrast", "saturation", "hue")]
+        scale = (held.get("random_resized_crop") or {}).get("scale", cls.scale)
+        return cls(tuple(scale), float(held.get("rotation_degrees", 0)), *parts, int(random.get("num_ops", 2)), int(random.get("magnitude", 9)))
+
+
+def train_transform(pixels: np.ndarray, rng: np.random.Generator, size: int = 224, how: Augmentation = Augmentation()) -> np.ndarray:
+    """Random resized crop, rotation, colour jitter, then random operations; never a flip."""
     pixels = to_rgb(pixels)
     h, w = pixels.shape[:2]
-    share, ratio = rng.uniform(*scale), np.exp(rng.uniform(np.log(3 / 4), np.log(4 / 3)))
+    share, ratio = rng.uniform(*how.scale), np.exp(rng.uniform(np.log(3 / 4), np.log(4 / 3)))
     ch, cw = min(h, max(1, round((h * w * share / ratio) ** 0.5))), min(w, max(1, round((h * w * share * ratio) ** 0.5)))
     top, left = rng.integers(h - ch + 1), rng.integers(w - cw + 1)
     x = resize(pixels[top : top + ch, left : left + cw], size, size)
-    x = _rotate(x, rng.uniform(-degrees, degrees))
-    x = x * rng.uniform(1 - jitter, 1 + jitter)
-    x = x.mean() + (x - x.mean()) * rng.uniform(1 - jitter, 1 + jitter)
-    gray = to_gray(x)[:, :, None]
-    x = np.clip(gray + (x - gray) * rng.uniform(1 - jitter, 1 + jitter), 0, 255)
-    level = magnitude / 30
-    operations: list[Callable[[np.ndarray], np.ndarray]] = [
-        lambda p: p,
-        lambda p: _rotate(p, rng.choice([-1, 1]) * 30 * level),
-        lambda p: p * (1 + rng.choice([-1, 1]) * 0.9 * level),
-        lambda p: p.mean() + (p - p.mean()) * (1 + rng.choice([-1, 1]) * 0.9 * level),
-        lambda p: np.roll(p, int(rng.choice([-1, 1]) * 0.45 * level * size), 0),
-        lambda p: np.roll(p, int(rng.choice([-1, 1]) * 0.45 * level * size), 1),
-        lambda p: np.where(p >= 255 * (1 - level), 255 - p, p),
-        lambda p: np.floor(p / 2 ** round(4 * level)) * 2 ** round(4 * level),
-    ]
-    for i in rng.integers(len(operations), size=num_ops):
-        x = np.clip(operations[i](x), 0, 255)
+    x = _rotate(x, rng.uniform(-how.degrees, how.degrees))
+    about = lambda spread: rng.uniform(max(0, 1 - spread), 1 + spread)
+    x = _blend(x, 0.0, about(how.brightness))
+    x = _blend(x, to_gray(x).mean(), about(how.contrast))
+    x = _blend(x, to_gray(x)[:, :, None], about(how.saturation))
+    x = _hue_turned(x, rng.uniform(-how.hue, how.hue))
+    for _ in range(how.num_ops):
+        operations = _operations(size, how.magnitude / 30, rng.choice([-1.0, 1.0]))
+        x = np.clip(operations[rng.integers(len(operations))](x), 0, 255)
     return _tensor(x)
 
 
+#: Pictures whose tensors leave a task at once: 32 of 3 x 224 x 224 floats are 19 MB.
+SLICE = 32
+
+
 def _tensors(images: DataFrame, key: str, decode, content: str, transform) -> DataFrame:
+    def made(k: object, data: bytes) -> np.ndarray | None:
+        try:
+            return transform(decode(data), k).ravel()
+        except NoDecoder:
+            raise
+        except Exception:  # as for fingerprints
+            return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for k, data in zip(pdf["key"], pdf["content"]):
-                try:
-                    out.append(transform(decode(data), k).ravel())
-                except NoDecoder:
-                    raise
-                except Exception:  # as for fingerprints
-                    out.append(None)
-            yield pd.DataFrame({"key": pdf["key"], "tensor": out})
+            for at in range(0, len(pdf), SLICE):
+                part = pdf.iloc[at : at + SLICE]
+                yield pd.DataFrame({"key": part["key"], "tensor": [made(k, data) for k, data in zip(part["key"], part["content"])]})
 
     rows = images.select(F.col(key).alias("key"), F.col(content).alias("content"))
     return rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, tensor array<float>").withColumnRenamed("key", key)
@@ -237,6 +345,6 @@ def eval_tensors(images: DataFrame, key: str, decode=decode_any, content: str =
     return _tensors(images, key, decode, content, lambda pixels, _: eval_transform(pixels, size))
 
 
-def train_tensors(images: DataFrame, key: str, seed: int = 0, epoch: int = 0, decode=decode_any, content: str = "content", size: int = 224) -> DataFrame:
+def train_tensors(images: DataFrame, key: str, seed: int = 0, epoch: int = 0, decode=decode_any, content: str = "content", size: int = 224, how: Augmentation = Augmentation()) -> DataFrame:
     """The same with augmentation; an image's randomness comes from seed, epoch and key alone."""
-    return _tensors(images, key, decode, content, lambda pixels, k: train_transform(pixels, np.random.default_rng([seed, epoch, zlib.crc32(str(k).encode())]), size))
+    return _tensors(images, key, decode, content, lambda pixels, k: train_transform(pixels, np.random.default_rng([seed, epoch, zlib.crc32(str(k).encode())]), size, how))

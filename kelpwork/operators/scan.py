@@ -42,8 +42,8 @@ def class_differences(found: DataFrame, label: str, expected: Sequence[str]) ->
     spark = found.sparkSession
     want = spark.createDataFrame([(c, i) for i, c in enumerate(expected)], "label string, at long")
     have = found.select(F.col(label).alias("label")).where("label IS NOT NULL").distinct()
-    missing = want.join(have, "label", "left_anti").select(F.lit("missing").alias("kind"), "label", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("pos"))
-    extra = have.join(want, "label", "left_anti").select(F.lit("extra").alias("kind"), "label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("pos"))
+    missing = want.join(have, "label", "left_anti").select(F.lit("missing").alias("kind"), "label", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("pos"))  # at most the given classes
+    extra = numbered(have.join(want, "label", "left_anti").select(F.lit("extra").alias("kind"), "label"), [F.col("label")], "pos")
     return missing.unionByName(extra)
 
 

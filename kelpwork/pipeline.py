@@ -21,9 +21,8 @@ def cluster(rows: DataFrame, hash_size: int = 16, threshold: int = 6, num_bands:
     decode = images.decode_gray
     prints = fingerprint.image_fingerprint(with_content(rows.select("row_idx", "path")), "row_idx", decode, hash_size=hash_size, num_partitions=workers)
     prints = stage.write(prints, "prints")
-    n_bytes = -(-hash_size * hash_size // 32) * 4
     reps = lsh.representatives(prints)
-    ids = components.cluster_ids(prints, reps, lsh.near_edges(reps, threshold, num_bands, n_bytes))
+    ids = components.cluster_ids(prints, reps, lsh.near_edges(reps, threshold, num_bands, hash_size * hash_size))
     return rows.join(prints, "row_idx").join(ids, "row_idx", "left")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +10,11 @@ from kelpwork.functions.text import label_of, split_of
 from kelpwork.operators import allocate, components, encode, fingerprint, images, lsh, metrics, report, sampling, scan
 from kelpwork.operators.compaction import TARGET_BYTES, Consolidation
 from kelpwork.operators.hotkeys import hot_keys, key_profile
+from kelpwork.plans.shared import Stage
+from kelpwork.sources import loader
+from kelpwork.sources.sinks import read_results, write_index, write_results
 
-#: The classes and ratios of the pipeline configuration, and the classes looked for in flat file names.
+#: Classes as the test tables name them, and beginnings of part names.
 CLASSES = ("fist", "flat", "fistup", "claw", "flatb", "hook", "claw5", "fork", "hooked", "ring", "cup", "bent", "bentv", "pinch", "pinchx", "horn", "wave", "spread", "thumb", "thumbin", "crook", "stack", "curl", "cross", "twist", "tap", "lift", "snap", "point", "rest", "salute")
 FLAT_CLASSES = ("al", "a", "f", "fi", "pr", "pro", "s", "st", "ste")
 
@@ -54,7 +58,7 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_records(spark: SparkSession, sf: str) -> DataFrame:
     """The consolidated files, read back."""
-    return _consolidation(spark, sf).rewrite()
+    return _consolidation(spark, sf).written
 
 
 
@@ -132,9 +136,9 @@ def cluster_size_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _allocated(spark: SparkSession, sf: str, **how) -> DataFrame:
-    """As the SQL has it, sizes are of labelled rows only, also without stratifying; clusters of unlabelled rows get no split."""
-    rows = _rows(spark, sf).where("label IS NOT NULL")
-    return allocate.allocate(allocate.cluster_summary(rows), **how)
+    """Clusters are sized by all their rows; those without any label are a class of their own, named by the empty text."""
+    clusters = allocate.cluster_summary(_rows(spark, sf))
+    return allocate.allocate(clusters.na.fill("", ["dominant_label"]), **how)
 
 
 def split_stratified(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,10 +170,9 @@ def label_split_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def random_split_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """Over the classes that can be split, those of two rows or more."""
-    rows = _rows(spark, sf).select("row_idx", "label")
-    splittable = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label")
-    return sampling.random_split(rows.join(splittable, "label", "left_semi"), "row_idx", "label").select("row_idx", "label", "split")
+    """All rows: those without a label are a class of their own, and classes of one row stay in train."""
+    rows = _rows(spark, sf).select("row_idx", "label", F.coalesce("label", F.lit("")).alias("class"))
+    return sampling.random_split(rows, "row_idx", "class", single="first").select("row_idx", "label", "split")
 
 
 def sample_512(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,13 +270,29 @@ def phash_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def image_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """The same pictures through the evaluation transform, in batches."""
+    """The same pictures through the evaluation transform at its full size, in batches; of each tensor size and sum."""
     rows = _table(spark, sf, "embeddings").select("vec_id", "label", images.gray_bytes(F.col("embedding")).alias("content"))
-    tensors = images.eval_tensors(rows, "vec_id", images.decode_raw_square, size=16)
-    sums = tensors.select("vec_id", F.size("tensor").alias("n"), F.aggregate("tensor", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    tensors = images.eval_tensors(rows, "vec_id", images.decode_raw_square)
+    sums = tensors.select("vec_id", F.size("tensor").alias("n"), F.round(F.aggregate("tensor", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
     return encode.batches(sums, "vec_id", 64, train=False)
 
 
+def index_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The validation part of the split table, written as an index, read back and batched with paths and label codes."""
+    folder = f"{Stage(spark, 'index').root}/splits"
+    write_index(_rows(spark, sf), folder, ["train", "val", "test"])
+    return loader.index_batches(spark, folder, "/data/images", "val", CLASSES, 128, strict=False).select("path", "cluster_id", "y", "batch_id")
+
+
+def results_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables of experiments, written and read back: runs beside the summary of their model."""
+    folder = f"{Stage(spark, 'results').root}/tables"
+    runs = _table(spark, sf, "runs").distinct().withColumn("family", label_of(F.col("family"))).distinct()
+    write_results(folder, runs=runs)
+    read = read_results(spark, folder, "runs").join(read_results(spark, folder, "summary"), ["family", "model"])
+    return read.select("family", "model", "seed", "best_val_acc", "test_acc", F.round("test_acc_mean", 9).alias("test_acc_mean"), "n_seeds")
+
+
 QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p4_found, p4_groups, p4_report, p4_records)}
 QUERIES |= {
     f.__name__: f
@@ -282,6 +301,7 @@ QUERIES |= {
         near_dup_edges, lsh_underbanded, dup_components, cluster_ids, cluster_size_label, split_stratified, split_global, split_pcg64, leakage_offenders, cluster_stats, split_totals,
         label_split_pivot, random_split_exact, sample_512, per_class_20, frame_checks, label_encode, batches_train, batches_eval, channel_normalize, argmax_prediction, argmax_accuracy,
         smoothed_ce, weighted_loss, confusion_matrix, confusion_wide, lr_schedule, best_epoch, seed_summary, model_seed_grid, decay_groups, phash_vectors, image_batches,
+        index_batches, results_summary,
     )
 }
 
@@ -340,9 +360,9 @@ _SUMMARY = _ROWS + """, cells AS (SELECT cluster_id, label, count(*) AS n FROM r
 summary AS (SELECT cluster_id, CAST(sum(n) AS BIGINT) AS n, (SELECT label FROM cells c WHERE c.cluster_id = cells.cluster_id AND label IS NOT NULL ORDER BY n DESC, label LIMIT 1) AS dominant_label FROM cells GROUP BY cluster_id)"""
 
 
-def _fold(group: str) -> str:
-    return _SUMMARY.format("AND label IS NOT NULL") + f""",
-q AS (SELECT cluster_id, n, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY n DESC, md5('0:' || cluster_id)) AS k, CAST(sum(n) OVER (PARTITION BY {group}) AS DOUBLE) AS t FROM summary),
+def _fold(group: str, tie: str = "md5('0:' || cluster_id)", draws: str = "") -> str:
+    return _SUMMARY.format("") + f""", classed AS (SELECT cluster_id, n, coalesce(dominant_label, '') AS class FROM summary), {draws}
+q AS (SELECT cluster_id, n, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY n DESC, {tie}) AS k, CAST(sum(n) OVER (PARTITION BY {group}) AS DOUBLE) AS t FROM {"drawn" if draws else "classed"}),
 fold(g, k, cluster_id, a, b, c, pick) AS (
   SELECT g, 0, NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, NULL::VARCHAR FROM q WHERE k = 1
   UNION ALL
@@ -354,12 +374,31 @@ fold(g, k, cluster_id, a, b, c, pick) AS (
 ), picked AS (SELECT cluster_id, pick AS split FROM fold WHERE k > 0)"""
 
 
+#: Draws of numpy's default generator, in the order of class (by its smallest cluster) and cluster.
+_DRAWN = f"""draws AS (SELECT {(np.random.default_rng(0).bit_generator.random_raw(4096) >> np.uint64(11)).tolist()} AS d),
+numbered AS (SELECT *, row_number() OVER (ORDER BY first, cluster_id) AS pos FROM (SELECT *, min(cluster_id) OVER (PARTITION BY class) AS first FROM classed)),
+drawn AS (SELECT cluster_id, n, class, d[pos] AS tie FROM numbered, draws),"""
+
+_GRAY = """g AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, floor((greatest(-3.0::DOUBLE, least(3.0::DOUBLE, embedding[i + 1]::DOUBLE)) + 3) * 42.5::DOUBLE) AS v FROM embeddings, (SELECT unnest(range(64)) AS i))"""
+_PHASH = f"""WITH {_GRAY},
+m AS (SELECT k, s AS z, sum(2 * cos(pi() * k * (2 * (8 * s + o) + 1) / 128)) AS w FROM (SELECT unnest(range(16)) AS k), (SELECT unnest(range(8)) AS s), (SELECT unnest(range(8)) AS o) GROUP BY 1, 2),
+half AS (SELECT vec_id, k, x, sum(w * v) AS h FROM g JOIN m ON m.z = g.y GROUP BY ALL),
+low AS (SELECT vec_id, half.k AS k, m.k AS l, sum(h * w) AS c FROM half JOIN m ON m.z = half.x GROUP BY ALL),
+bit AS (SELECT vec_id, 16 * k + l AS z, (c > median(c) OVER (PARTITION BY vec_id))::INT AS b FROM low),
+byte AS (SELECT vec_id, z // 8 AS z, printf('%02X', CAST(sum(b << (7 - z % 8)) AS INT)) AS h FROM bit GROUP BY 1, 2)
+SELECT vec_id, string_agg(h, '' ORDER BY z) AS fp FROM byte GROUP BY 1"""
+_EVAL = f"""WITH {_GRAY},
+p AS (SELECT i, a, least(a + 1, 7) AS b, z - a AS f FROM (SELECT i, z, floor(z) AS a FROM (SELECT i, greatest(0.0::DOUBLE, least(7.0::DOUBLE, (i + 0.5::DOUBLE) * 8 / 256 - 0.5::DOUBLE)) AS z FROM (SELECT unnest(range(16, 240)) AS i)))),
+tall AS (SELECT u.vec_id, p.i, u.x, u.v * (1 - f) + l.v * f AS v FROM p JOIN g u ON u.y = a JOIN g l ON l.y = b AND l.vec_id = u.vec_id AND l.x = u.x),
+full_size AS (SELECT u.vec_id, (u.v * (1 - f) + l.v * f) / 255 AS v FROM tall u JOIN p ON u.x = a JOIN tall l ON l.vec_id = u.vec_id AND l.i = u.i AND l.x = b),
+t AS (SELECT vec_id, CAST(3 * count(*) AS INT) AS n, sum({' + '.join(f"CAST((v - {m}::DOUBLE) / {s}::DOUBLE AS FLOAT)::DOUBLE" for m, s in zip(images.MEAN, images.STD))}) AS total FROM full_size GROUP BY vec_id)
+SELECT vec_id, n, round(total, 3) AS total, (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS batch_id FROM t"""
 _NORM = "list_transform(range(64), lambda i: (embedding[i + 1]::DOUBLE - [0.485, 0.456, 0.406, 0.5][i // 16 + 1]::DOUBLE) / [0.229, 0.224, 0.225, 0.25][i // 16 + 1]::DOUBLE)"
 _SCORED = "s AS (SELECT vec_id, label AS y, list_slice(embedding, 1, 10) AS l, list_position(list_slice(embedding, 1, 10), list_max(list_slice(embedding, 1, 10))) - 1 AS pred FROM embeddings)"
-_QUOTA = _ROWS + """, sizes AS (SELECT label, count(*) AS n FROM rows WHERE label IS NOT NULL GROUP BY label HAVING count(*) > 1),
+_QUOTA = _ROWS + """, sizes AS (SELECT coalesce(label, '') AS class, count(*) AS n FROM rows GROUP BY 1 HAVING count(*) > 1),
 tot AS (SELECT sum(n) AS total, ceil(round(0.2 * sum(n), 9)) AS n_test FROM sizes),
-share AS (SELECT label, n * n_test / total AS share, floor(n * n_test / total) AS base FROM sizes, tot),
-quota AS (SELECT label, base + (row_number() OVER (ORDER BY share - base DESC, label) <= (SELECT n_test FROM tot) - (SELECT sum(base) FROM share))::INT AS quota FROM share)"""
+share AS (SELECT class, n * n_test / total AS share, floor(n * n_test / total) AS base FROM sizes, tot),
+quota AS (SELECT class, base + (row_number() OVER (ORDER BY share - base DESC, class) <= (SELECT n_test FROM tot) - (SELECT sum(base) FROM share))::INT AS quota FROM share)"""
 
 ORACLE |= {
     "scan_ext_filter": "SELECT DISTINCT row_idx, image_path FROM split_rows WHERE lower(regexp_extract(regexp_extract(image_path, '[^/]*$'), '^.+(\\.[^.]+)$', 1, 's')) IN ('.jpg', '.jpeg', '.png', '.bmp', '.ppm', '.tif', '.tiff', '.webp')",
@@ -388,15 +427,22 @@ SELECT doc_id AS row_idx, bits FROM documents LEFT JOIN bits USING (doc_id)""",
     "dup_components": f"WITH RECURSIVE {_COMP} SELECT id, component FROM comp",
     "cluster_ids": f"WITH RECURSIVE {_COMP}, c AS (SELECT DISTINCT f.row_idx, coalesce(component, rep) AS comp FROM fingerprints f JOIN reps ON f.fp = reps.fp LEFT JOIN comp ON id = rep) SELECT row_idx, dense_rank() OVER (ORDER BY comp) - 1 AS cluster_id FROM c",
     "cluster_size_label": f"WITH {_SUMMARY.format('')} SELECT cluster_id, n, dominant_label FROM summary",
-    "split_stratified": f"WITH RECURSIVE {_fold('dominant_label')} SELECT row_idx, rows.cluster_id, picked.split FROM rows LEFT JOIN picked ON rows.cluster_id = picked.cluster_id",
+    "split_stratified": f"WITH RECURSIVE {_fold('class')} SELECT row_idx, rows.cluster_id, picked.split FROM rows LEFT JOIN picked ON rows.cluster_id = picked.cluster_id",
     "split_global": f"WITH RECURSIVE {_fold('1')} SELECT cluster_id, split FROM picked",
+    "split_pcg64": f"WITH RECURSIVE {_fold('class', 'tie', _DRAWN)} SELECT cluster_id, split FROM picked",
+    "phash_vectors": _PHASH,
+    "image_batches": _EVAL,
+    "index_batches": f"""WITH {_ROWS}, {_CLASS_LIST}, code AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS y FROM classes)
+SELECT '/data/images/' || image_path AS path, cluster_id, y, (row_number() OVER (ORDER BY image_path NULLS FIRST, r.label NULLS FIRST, cluster_id NULLS FIRST) - 1) // 128 AS batch_id FROM rows r LEFT JOIN code c ON r.label = c.label WHERE split = 'val'""",
+    "results_summary": f"""WITH r AS (SELECT DISTINCT model, {LABEL_SQL.format('family')} AS family, seed, best_val_acc, test_acc FROM runs),
+s AS (SELECT family, model, round(avg(test_acc), 9) AS test_acc_mean, count(DISTINCT seed) AS n_seeds FROM r GROUP BY 1, 2) SELECT family, model, seed, best_val_acc, test_acc, test_acc_mean, n_seeds FROM r JOIN s USING (family, model)""",
     "leakage_offenders": f"WITH {_ROWS} SELECT cluster_id, count(DISTINCT split) AS n_splits FROM rows WHERE cluster_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "cluster_stats": f"""WITH {_ROWS}, z AS (SELECT cluster_id, count(*) AS n FROM rows GROUP BY 1)
 SELECT count(cluster_id) AS n_clusters, count(*) FILTER (cluster_id IS NOT NULL AND n > 1) AS n_multiple, CAST(sum(n) FILTER (cluster_id IS NOT NULL AND n > 1) AS BIGINT) AS rows_multiple, max(n) FILTER (cluster_id IS NOT NULL) AS largest,
   CAST(sum(n) AS BIGINT) AS n_rows, 100.0::DOUBLE * (sum(n) FILTER (cluster_id IS NOT NULL AND n > 1))::DOUBLE / sum(n)::DOUBLE AS percent FROM z""",
     "split_totals": f"WITH {_ROWS} SELECT s AS split, count(split) AS n, 100.0::DOUBLE * count(split)::DOUBLE / (SELECT count(*) FROM rows)::DOUBLE AS percent FROM (SELECT unnest(['train', 'val', 'test']) AS s) LEFT JOIN rows ON split = s GROUP BY s",
     "label_split_pivot": f"WITH {_ROWS} SELECT label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test, count(split) AS total FROM rows WHERE label IS NOT NULL GROUP BY label",
-    "random_split_exact": f"WITH {_QUOTA} SELECT row_idx, r.label, CASE WHEN k <= quota THEN 'test' ELSE 'train' END AS split FROM (SELECT row_idx, label, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || row_idx)) AS k FROM rows WHERE label IS NOT NULL) r JOIN quota q ON q.label = r.label",
+    "random_split_exact": f"WITH {_QUOTA} SELECT row_idx, label, CASE WHEN k <= coalesce(quota, 0) THEN 'test' ELSE 'train' END AS split FROM (SELECT row_idx, label, coalesce(label, '') AS class, row_number() OVER (PARTITION BY coalesce(label, '') ORDER BY md5('0:' || row_idx)) AS k FROM rows) r LEFT JOIN quota q ON q.class = r.class",
     "sample_512": f"WITH {_ROWS} SELECT row_idx, label FROM rows ORDER BY md5('0:' || row_idx) LIMIT 512",
     "per_class_20": f"WITH {_ROWS} SELECT row_idx, label FROM (SELECT row_idx, label, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || row_idx)) AS k FROM rows WHERE label IS NOT NULL) WHERE k <= 20",
     "frame_checks": f"WITH {_ROWS} SELECT count(*) AS n_rows, count(DISTINCT label) AS n_labels FROM rows",

@@ -9,18 +9,12 @@ def codes(spark, values):
     return spark.createDataFrame([(i, None if v is None else bytes.fromhex(v) + bytes(2)) for i, v in enumerate(values)], "row_idx long, fp binary")
 
 
-def clustered(spark, values, threshold, num_bands, n_bytes=4):
+def clustered(spark, values, threshold, num_bands):
     prints = codes(spark, values)
     reps = lsh.representatives(prints)
-    # two bytes of zeros make a word of 32 bits; they never differ, so bands are laid over the first 16 bits
-    layout = lsh.band_layout
-    lsh.band_layout = lambda bits, t, n=None: layout(16, t, n)
-    try:
-        edges = lsh.near_edges(reps, threshold, num_bands, n_bytes)
-        got = components.cluster_ids(prints, reps, edges).orderBy("row_idx").collect()
-    finally:
-        lsh.band_layout = layout
-    return [r.cluster_id for r in got]
+    # of the four bytes only the first 16 bits are the code's
+    edges = lsh.near_edges(reps, threshold, num_bands, 16)
+    return [r.cluster_id for r in components.cluster_ids(prints, reps, edges).orderBy("row_idx").collect()]
 
 
 HASHES = ["0000", "0000", "0001", "0003", "ffff", "fffe", "0101"]
