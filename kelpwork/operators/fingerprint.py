@@ -80,10 +80,13 @@ def _dct(n: int) -> np.ndarray:
 
 
 def perceptual_hash(gray: np.ndarray, hash_size: int = HASH_SIZE) -> bytes:
-    """Low frequencies of the DCT of the image at four times ``hash_size``, each above the median or not, packed."""
+    """Low frequencies of the DCT of the image at four times ``hash_size``, each above the median or not, packed.
+
+    They are rounded first, so that no bit hangs on the order of summation where frequencies are zero.
+    """
     side = 4 * hash_size
     d = _dct(side)
-    low = (d @ _area_resize(gray.astype(float), side) @ d.T)[:hash_size, :hash_size]
+    low = (d @ _area_resize(gray.astype(float), side) @ d.T)[:hash_size, :hash_size].round(6)
     return np.packbits(low > np.median(low)).tobytes()
 
 

@@ -383,7 +383,7 @@ _GRAY = """g AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, floor((greatest(-3.0::D
 _PHASH = f"""WITH {_GRAY},
 m AS (SELECT k, s AS z, sum(2 * cos(pi() * k * (2 * (8 * s + o) + 1) / 128)) AS w FROM (SELECT unnest(range(16)) AS k), (SELECT unnest(range(8)) AS s), (SELECT unnest(range(8)) AS o) GROUP BY 1, 2),
 half AS (SELECT vec_id, k, x, sum(w * v) AS h FROM g JOIN m ON m.z = g.y GROUP BY ALL),
-low AS (SELECT vec_id, half.k AS k, m.k AS l, sum(h * w) AS c FROM half JOIN m ON m.z = half.x GROUP BY ALL),
+low AS (SELECT vec_id, half.k AS k, m.k AS l, round(sum(h * w), 6) AS c FROM half JOIN m ON m.z = half.x GROUP BY ALL),
 bit AS (SELECT vec_id, 16 * k + l AS z, (c > median(c) OVER (PARTITION BY vec_id))::INT AS b FROM low),
 byte AS (SELECT vec_id, z // 8 AS z, printf('%02X', CAST(sum(b << (7 - z % 8)) AS INT)) AS h FROM bit GROUP BY 1, 2)
 SELECT vec_id, string_agg(h, '' ORDER BY z) AS fp FROM byte GROUP BY 1"""
