@@ -11,25 +11,49 @@ to a third of all records never has its edges in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpwork.plans.shared import Stage
-from kelpwork.plans.skew import HOT_PART, HOT_ROWS, hot_lookup
+from kelpwork.plans.skew import hot_counts, hot_limit, hot_lookup
 
 #: Stripping goes on while a round removes at least this part of the vertices.
 WORTH = 0.05
 MAX_ROUNDS = 200
 
 
-def _injective_ids(names: DataFrame, stage: Stage) -> tuple[DataFrame, int]:
-    """``(name, id)`` with a 64-bit hash as id, and its seed; another seed is taken while two names share one."""
-    for seed in range(64):
-        ids = stage.write(names.select("name", F.xxhash64("name", F.lit(seed)).alias("id")), f"ids{seed}")
-        if ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-            return ids, seed
-        stage.drop(f"ids{seed}")
-    raise ValueError("no injective hash was found")
+def _hashed(name: Column | str, seed: int) -> Column:
+    return F.xxhash64(name, F.lit(seed))
+
+
+def _ids(names: DataFrame, stage: Stage) -> tuple[DataFrame, int, DataFrame | None]:
+    """``(name, id)`` with ids that no two names share, the number of names, and the names whose id is not their first hash.
+
+    Ids are 64-bit hashes. Of n names some n ** 2 / 2 ** 65 pairs share one (11 at 2 * 10 ** 10 names); only these names
+    take a hash of the next seed, again and again until all ids differ.
+    """
+    first, n = stage.counted(names.select("name", _hashed("name", 0).alias("id"), F.lit(0).alias("turn")), "ids0")
+    ids, moved, turn = first, None, 0
+    while True:
+        shared = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+        met = ids.join(shared, "id").where(F.col("turn") == turn).select("name")
+        met, n_met = stage.counted(met, f"met{turn}")
+        if n_met == 0:
+            return ids.select("name", "id"), n, moved
+        turn += 1
+        again = met.select("name", _hashed("name", turn).alias("id"), F.lit(turn).alias("turn"))
+        moved = again if moved is None else moved.join(met, "name", "left_anti").unionByName(again)
+        moved = stage.write(moved, f"moved_ids{turn}")
+        ids = stage.write(first.join(moved, "name", "left_anti").unionByName(moved), f"ids{turn}")
+
+
+def _by_id(links: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """Links by id. ``moved`` holds a handful of names, so Spark broadcasts it; a larger one it would shuffle."""
+    out = links.select("a", "b", _hashed("a", 0).alias("p"), _hashed("b", 0).alias("q"))
+    if moved is not None:
+        for name, at in (("a", "p"), ("b", "q")):
+            out = out.join(moved.select(F.col("name").alias(name), F.col("id").alias("other")), name, "left").withColumn(at, F.coalesce("other", at)).drop("other")
+    return out.select(*_edge("p", "q"))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -70,15 +94,14 @@ def _relabel(edges: DataFrame, side: str, moved: DataFrame, hubs: DataFrame | No
     return join(edges.join(hub, side, "left_anti")).unionByName(edges.join(hub, side, "left_semi").select(side, other))
 
 
-def _contract_stars(edges: DataFrame, n_edges: int, seed: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """``(moved, edges)``: tails with a head beside them move to the smallest such head. Hubs are always heads."""
-    limit = max(HOT_ROWS, int(n_edges * HOT_PART))
+def _contract_stars(edges: DataFrame, n_edges: int, seed: int, stage: Stage) -> tuple[DataFrame, int, DataFrame]:
+    """``(moved, how many, edges)``: tails with a head beside them move to the smallest such head. Hubs are always heads."""
+    limit = hot_limit(stage.spark, n_edges)
     hubs = None
     if n_edges > limit:
-        # the degrees add up to two per edge, so at most 2 / HOT_PART vertices exceed the limit; being fewer than HOT_ROWS,
-        # they are no hubs any more once all others are contracted
-        hubs = stage.write(_both_ways(edges).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("x"), f"hubs{seed}")
-        hubs = None if hubs.isEmpty() else hubs
+        # degrees add up to two per edge, so hubs are far fewer than the limit, and no hubs any more once all others are contracted
+        hubs = hot_counts(_both_ways(edges), ["x"], limit)
+        hubs = None if hubs is None else stage.write(hubs.select("x"), f"hubs{seed}")
     coin = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(2)) == 0
     ways = _both_ways(edges)
     if hubs is None:
@@ -86,21 +109,21 @@ def _contract_stars(edges: DataFrame, n_edges: int, seed: int, stage: Stage) ->
     else:
         hub_y = F.broadcast(hubs.select(F.col("x").alias("y"), F.lit(True).alias("hub")))
         ways = ways.join(F.broadcast(hubs), "x", "left_anti").join(hub_y, "y", "left").where(~coin("x") & (coin("y") | F.col("hub")))
-    moved = stage.write(ways.groupBy("x").agg(F.min("y").alias("lo")), f"moved{seed}")
+    moved, n_moved = stage.counted(ways.groupBy("x").agg(F.min("y").alias("lo")), f"moved{seed}")
     left = _relabel(_relabel(edges, "u", moved, hubs), "v", moved, hubs)
-    return moved, left.where("u <> v").select(*_edge("u", "v")).distinct()
+    return moved, n_moved, left.where("u <> v").select(*_edge("u", "v")).distinct()
 
 
-def _roots(parents: DataFrame, stage: Stage) -> DataFrame:
+def _roots(parents: DataFrame, rows: int, stage: Stage) -> DataFrame:
     """``(id, root)`` of every removed vertex, by pointer jumping."""
-    rows, turn = parents.count(), 0
+    turn = 0
     while True:
         step = parents.select(F.col("id").alias("root"), F.col("root").alias("next"))
         jumped = hot_lookup(parents, "root", step, rows).select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
-        jumped = stage.write(jumped, f"jump{turn}")
-        if jumped.where("moved").isEmpty():
-            return jumped.select("id", "root")
+        jumped, n_moved = stage.counted(jumped, f"jump{turn}", F.count_if("moved"))
         parents, turn = jumped.select("id", "root"), turn + 1
+        if n_moved == 0:
+            return parents
 
 
 def linked_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -112,26 +135,22 @@ def linked_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     stage = Stage(pairs.sparkSession, "groups")
     links = pairs.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     links = stage.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    ids, seed = _injective_ids(links.select(F.explode(F.array("a", "b")).alias("name")).distinct(), stage)
-    key = lambda c: F.xxhash64(c, F.lit(seed))
-    edges = stage.write(links.where("a <> b").select(key("a").alias("p"), key("b").alias("q")).select(*_edge("p", "q")), "edges0")
-    n_names, n_edges, parents, strip = ids.count(), edges.count(), [], True
-    left = n_names
+    ids, n_names, moved_ids = _ids(links.select(F.explode(F.array("a", "b")).alias("name")).distinct(), stage)
+    edges, n_edges = stage.counted(_by_id(links.where("a <> b"), moved_ids), "edges0")
+    parents, n_removed, strip = [], 0, True
     for turn in range(1, MAX_ROUNDS + 1):
         if n_edges == 0:
             break
         if strip:
-            moved = stage.write(_strip(edges, turn), f"moved{turn}")
+            moved, n_moved = stage.counted(_strip(edges, turn), f"moved{turn}")
             rest = _without(edges, moved)
         else:
-            moved, rest = _contract_stars(edges, n_edges, turn, stage)
-        n_moved = moved.count()
+            moved, n_moved, rest = _contract_stars(edges, n_edges, turn, stage)
         parents.append(moved.select(F.col("x").alias("id"), F.col("lo").alias("root")))
-        edges = stage.write(rest, f"edges{turn}")
+        edges, n_edges = stage.counted(rest, f"edges{turn}")
         stage.drop(f"edges{turn - 1}")
-        n_edges = edges.count()
-        left -= n_moved
-        strip = strip and n_moved >= WORTH * max(left, 1)
+        n_removed += n_moved
+        strip = strip and n_moved >= WORTH * max(n_names - n_removed, 1)
     else:
         raise ValueError(f"{n_edges} edges are left after {MAX_ROUNDS} rounds")
     if not parents:
@@ -139,7 +158,7 @@ def linked_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     forest = parents[0]
     for more in parents[1:]:
         forest = forest.unionByName(more)
-    rooted = _roots(stage.write(forest, "forest"), stage)
+    rooted = _roots(forest, n_removed, stage)
     # a root is a vertex that was never removed
     named = stage.write(ids.join(rooted, "id", "left").select("name", F.coalesce("root", "id").alias("root")), "named")
     smallest = named.groupBy("root").agg(F.min("name").alias("group_id"))

@@ -1,275 +1,417 @@
 """Text statistics per document, and how far each is from running prose.
 
-Texts are cut into sentence-like units: paragraphs at sentence ends, whatever the line breaks. Of each unit come the
-statistics below; per language a mean and covariance of prose are estimated robustly from the units of all documents
-(start at median and median deviation, then reweighted moments of the units within a fixed Mahalanobis distance). A unit
-is a sentence of prose if its own distance is small enough; a document is prose if at least half of its characters stand
-in such units. The document's own statistics get a distance from the mean and covariance of prose documents of its
-language, split into the contribution of each statistic.
+Texts are measured in windows of about WINDOW characters, several sentences of prose each. Of every window come four
+statistics: words per sentence end, characters per word and the share of characters that are neither letter nor white
+space (each as logarithm), and the share of common words of the language that has most of them there (as arcsine of its
+root, of which the variance does not hang on the share). Per language, mean and
+covariance of prose are estimated robustly from the windows of all documents: start at median and median deviation, then
+moments of the windows within a quantile of the chi-square distribution, made consistent for the part cut off, again and
+again, and shrunk towards the pooled covariance as far as the data ask for. Nothing else is set by hand.
+
+A document's distance is the median, by characters, of the squared Mahalanobis distances of its windows: less than half
+of its characters stand in windows of prose exactly where that median is above the chi-square quantile that windows of
+prose stay below. What each statistic contributes is told for the window at the median, the one that decides.
+
+Characters are looked at as numpy arrays over many texts at once: no Python runs per word or line.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpwork.llm.partials import summed
 from kelpwork.plans.shared import Stage
 
-#: Squared distance up to which a unit counts as prose, and up to which it takes part in the estimation.
-PROSE = 20.0
-CORE = 16.0
-TURNS = 3
-#: Words that a unit needs to take part in the estimation, and characters from which a unit may end.
-CORE_WORDS = 5
-UNIT_CHARS = 40
-MAX_COMMON_WORDS = 100_000
-#: Documents of at least this share of prose give the document level's mean and covariance.
-PROSE_DOCUMENT = 0.8
-
-#: Statistics of a unit with the range of their histogram and the least standard deviation that they are given.
-UNIT_STATISTICS = {"log_words": (0, 8, 0.35), "word_length": (0, 30, 0.35), "symbols": (0, 1, 0.025), "digits": (0, 1, 0.03), "common": (0, 1, 0.08), "ended": (0, 1, 0.15), "capitals": (0, 1, 0.10)}
-DOCUMENT_STATISTICS = {"log_words": 0.3, "mean_word_length": 0.3, "symbol_share": 0.02, "punctuated_lines": 0.15, "common_share": 0.05}
-_LEAST = np.array([x[2] for x in UNIT_STATISTICS.values()])
-_BINS = 1_000
-_FIELDS = 9  # language, words, characters, letters per word, symbols, digits, common, ended, capitals
-
-_ENDS = frozenset(".!?:;…")
-_CLOSING = "\"'»”’)]“ "
-_LETTERS = re.compile(r"[^\W\d_]+")
-_DIGITS = re.compile(r"\d+")
-_PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
-# a sentence end is not followed by a small letter, a digit or closing punctuation
-_BREAK = re.compile(r"[.!?;:…][\"'»”’)\]]* (?=[^a-zß-öø-ÿ0-9),;.])")
-# blackened or withheld passages; they count as characters but not as words or symbols
-_REDACTED = re.compile(
-    r"[█▇■▓\[(*X_…](?:(?<=█)(?:[█ ]*█)?|(?<=[▇■▓])[▇■▓]*|(?<=\[)(?:REDACTED|redacted|\.\.\.|…)\]|(?<=\()name withheld\)"
-    r"|(?<=\*)\*\*+|(?<=X)XX+|(?<=_)_+|(?<=\b[A-Z]…))"
-)
-# private characters that stand for redacted ones, and for an ellipsis while NFKC would make it three full stops
-_HIDDEN, _ELLIPSIS = "\ue000", "\ue001"
-
-
-def _units(text: str) -> Iterator[str]:
-    for paragraph in _PARAGRAPH.split(text):
-        p = " ".join(paragraph.split())
-        at = 0
-        for m in _BREAK.finditer(p):
-            end, before = m.end(), m.start() - 2
-            if end - at >= UNIT_CHARS and not (before >= 0 and p[before] in " ("):  # an initial ends no sentence
-                yield p[at : end - 1]
-                at = end
-        if at < len(p):
-            yield p[at:]
-
-
-def _measure(languages: list[str], common: dict[str, int]):
-    """Rows of documents: own statistics and the packed units."""
-    n_lang = max(1, len(languages))
-    bits = range(n_lang)
-    tables = [bytes((m >> k) & 1 for m in range(256)) for k in bits]
-    of_word = common.get
-
-    def document(text: str) -> tuple:
-        plain = unicodedata.normalize("NFKC", text.replace("…", _ELLIPSIS)).replace(_ELLIPSIS, "…")
-        plain = _REDACTED.sub(lambda m: _HIDDEN * len(m.group()), plain.replace("\r\n", "\n").replace("\r", "\n"))
-        out, per_lang = array("f"), [0] * n_lang
-        n_words = n_letters = n_symbols = n_chars = 0
-        for unit in _units(plain):
-            r = unit.replace(_HIDDEN, "")
-            found = _LETTERS.findall(r)
-            n, size = len(found), len(r)
-            letters, digits = sum(map(len, found)), sum(map(len, _DIGITS.findall(r)))
-            symbols = size - letters - digits - r.count(" ")
-            masks = bytes(filter(None, map(of_word, found)))
-            hits = [masks.translate(t).count(1) for t in tables]
-            k = hits.index(max(hits))
-            capitals = -1.0 if sum(map(str.isupper, found)) > 0.7 * n else sum(map(str.istitle, found)) / max(1, n)
-            ended = r.rstrip(_CLOSING)[-1:] in _ENDS if r else False
-            whole = max(1, size)
-            out.extend((k, n, len(unit), letters / max(1, n), symbols / whole, digits / whole, hits[k] / max(1, n), ended, capitals))
-            n_words, n_letters, n_symbols, n_chars = n_words + n, n_letters + letters, n_symbols + symbols, n_chars + size
-            for i in bits:
-                per_lang[i] += hits[i]
-        lines = [x for x in map(str.rstrip, plain.split("\n")) if x]
-        punctuated = sum(x.rstrip(_CLOSING)[-1:] in _ENDS for x in lines) / max(1, len(lines))
-        k = per_lang.index(max(per_lang))
-        return k, n_words, n_letters / max(1, n_words), n_symbols / max(1, n_chars), punctuated, per_lang[k] / max(1, n_words), out.tobytes()
+#: Characters of a window, about: a text is cut into equal windows, as many as come nearest to this size.
+WINDOW = 300
+#: Part of the prose that shapes its mean and covariance in the first turns and in the last ones, and part of its
+#: windows that stays below the cut.
+CORE, FINAL, PROSE = 0.75, 0.975, 0.99999
+TURNS = (4, 2)
+#: Characters that are looked at at once; longer texts are cut at a line end, else at white space.
+CHUNK = 1 << 20
+
+STATISTICS = ("words_per_end", "chars_per_word", "marks", "common")
+#: Range of the histogram that gives the first median of each statistic. Values beyond count at its ends.
+_RANGES = np.array([(-4.0, 10.0), (0.0, 14.0), (-14.0, 0.1), (0.0, 1.5709)])
+_BINS = 4_000
+_FIELDS = 2 + len(STATISTICS)  # language, characters, statistics
+
+_ENDS, _CLOSING = ".!?:;…", "\"'»”’)]“"
+_OTHER, _LETTER, _DIGIT, _SPACE, _FORMAT = range(5)
+# odd numbers have an inverse modulo 2**64, so a hash of any stretch comes from running sums
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: kind, small letter, whether it ends a sentence, whether it may follow such an end."""
+    kind, small = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    of = {"L": _LETTER, "M": _LETTER, "Z": _SPACE}
+    for i in range(0x110000):
+        c = chr(i)
+        category = unicodedata.category(c)
+        kind[i] = _DIGIT if category == "Nd" else _FORMAT if category == "Cf" else of.get(category[0], _OTHER)
+        if category[0] == "L" and len(low := c.lower()) == 1:
+            small[i] = ord(low)
+    kind[[*range(9, 14), *range(28, 32), 0x85]] = _SPACE
+    ends, closing = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    ends[[ord(c) for c in _ENDS]] = True
+    closing[[ord(c) for c in _CLOSING]] = True
+    return kind, small, ends, closing
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (_BASE, _INVERSE))
+
+
+def _hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each stretch of code points, in small letters, wherever it stands."""
+    power, inverse = _powers(1 << max(12, len(codes).bit_length()))
+    with np.errstate(over="ignore"):
+        up_to = np.r_[np.uint64(0), np.cumsum(_tables()[1][codes].astype(np.uint64) * power[: len(codes)])]
+        return (up_to[end] - up_to[start]) * inverse[start]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def normal(text: str) -> str:
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
+class CommonWords:
+    """Hashes of the common words of any number of languages, and which languages have each."""
+
+    def __init__(self, words: Sequence[tuple[str, str]]):
+        self.languages = sorted({x for x, _ in words}) or [""]
+        held: dict[int, set[int]] = {}
+        for lang, word in words:
+            codes = _codes(word)
+            held.setdefault(int(_hashes(codes, np.array([0]), np.array([len(codes)]))[0]), set()).add(self.languages.index(lang))
+        self.known = np.array(sorted(held), np.uint64)
+        self.member = np.zeros((len(held), len(self.languages)))
+        for i, h in enumerate(self.known.tolist()):
+            self.member[i, list(held[h])] = 1
+
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and their places."""
+        if not len(self.known):
+            return np.zeros(len(hashes), bool), np.zeros(0, int)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        hit = self.known[at] == hashes
+        return hit, at[hit]
+
+
+def _pieces(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > CHUNK:
+        end = text.rfind("\n", at + 1, at + CHUNK) + 1 or text.rfind(" ", at + 1, at + CHUNK) + 1 or at + CHUNK
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _count(at: np.ndarray, n: int, of: np.ndarray | None = None) -> np.ndarray:
+    return np.bincount(at if of is None else at[of], minlength=n).astype(float)
+
+
+def measure(texts: list[str], common: CommonWords) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Statistics of each text, and windows with the text that each belongs to.
+
+    A word is a run of letters and marks, a symbol neither of them nor digit nor white space, a line ends in punctuation
+    if it does so before closing quotes and brackets. Format characters (soft hyphens, joiners) do not count at all.
+    """
+    kinds, _, ends_at, closes = _tables()
+    n_lang, totals, windows, owners = len(common.languages), [], [], []
+    waiting: list[tuple[int, str]] = []
+
+    def flush() -> None:
+        """Measures the pieces that wait, each followed by a line end."""
+        if not waiting:
+            return
+        of = np.array([i for i, _ in waiting])
+        codes = _codes("\n".join([*(p for _, p in waiting), ""]))
+        piece = np.repeat(np.arange(len(waiting)), [len(p) + 1 for _, p in waiting])
+        keep = kinds[codes] != _FORMAT
+        codes, piece = codes[keep], piece[keep]
+        kind, n, n_pieces = kinds[codes], len(codes), len(waiting)
+        size = np.bincount(piece, minlength=n_pieces)  # with the line end
+        first = np.r_[0, np.cumsum(size)[:-1]]
+        last = np.zeros(n, bool)
+        last[first + size - 1] = True
+        parts = np.maximum(1, np.round((size - 1) / WINDOW)).astype(int)
+        place = ((np.arange(n) - first[piece]) * parts[piece]) // np.maximum(1, size - 1)[piece]
+        n_windows = int(parts.sum())
+        window = np.r_[0, np.cumsum(parts)[:-1]][piece] + np.minimum(place, parts[piece] - 1)
+        letter = kind == _LETTER
+        start = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
+        stop = np.flatnonzero(letter & ~np.r_[letter[1:], False]) + 1
+        hit, which = common.found(_hashes(codes, start, stop))
+        in_window = window[start]
+        hits = np.column_stack([np.bincount(in_window[hit], common.member[which, k] if len(which) else None, minlength=n_windows) for k in range(n_lang)])
+        space, sentence = kind == _SPACE, ends_at[codes]
+        sentence_end = sentence & np.r_[space[1:], True] & ~np.r_[True, space[:-1]]
+        real = ~last
+        chars, words = _count(window, n_windows, real), _count(in_window, n_windows)
+        letters, marks, ends = _count(window, n_windows, letter), _count(window, n_windows, (kind == _OTHER) | (kind == _DIGIT)), _count(window, n_windows, sentence_end)
+        owner = of[np.repeat(np.arange(n_pieces), parts)]
+        by_text = np.zeros((len(texts), n_lang))
+        np.add.at(by_text, owner, hits)
+        lang = np.where(hits.max(1) > 0, hits.argmax(1), by_text.argmax(1)[owner])
+        share = hits[np.arange(n_windows), lang] / np.maximum(1, words)
+        # the added constants keep windows without any word or mark finite; a mark more or less is what they can be off by
+        x = [np.log((words + 1) / (ends + 1)), np.log((chars + 1) / (words + 1)), np.log((marks + 1) / (chars + 20)), np.arcsin(np.sqrt(np.minimum(1, share)))]
+        windows.append(np.column_stack([lang, chars, *x]).astype(np.float32))
+        owners.append(owner)
+        # lines: the last character before blanks and closing ones decides
+        new_line = (codes == 10) | (codes == 13)
+        line = np.r_[0, np.cumsum(new_line)[:-1]]
+        filled = np.bincount(line, ~space) > 0
+        told = np.maximum.accumulate(np.where(space | closes[codes], -1, np.arange(n)))
+        close = np.flatnonzero(new_line)
+        begin = np.r_[0, close[:-1] + 1]
+        punctuated = (told[close] >= begin) & sentence[told[close]]
+        line_of = of[piece[close]]
+        add = lambda at, w=None: np.bincount(at, w, minlength=len(texts))
+        totals.append(np.column_stack([add(owner, words), add(owner, letters), add(of[piece], (kind == _OTHER).astype(float)), add(owner, chars), add(line_of, filled[: len(close)].astype(float)), add(line_of, punctuated.astype(float)), by_text]))
+        waiting.clear()
+
+    held = 0
+    for i, text in enumerate(texts):
+        for p in _pieces(normal(text)):
+            waiting.append((i, p))
+            held += len(p)
+            if held >= CHUNK:
+                flush()
+                held = 0
+    flush()
+    sums = sum(totals)
+    words, letters, symbols, chars, lines, punctuated = sums[:, :6].T
+    lang = sums[:, 6:].argmax(1)
+    ratio = lambda a, b: a / np.maximum(1, b)
+    out = pd.DataFrame({"k": lang, "n_words": words.astype(int), "mean_word_length": ratio(letters, words), "symbol_share": ratio(symbols, chars), "punctuated_lines": ratio(punctuated, lines), "common_share": ratio(sums[np.arange(len(texts)), 6 + lang], words)})
+    return out, np.vstack(windows), np.concatenate(owners)
+
+
+_MEASURED = ["k", "n_words", "mean_word_length", "symbol_share", "punctuated_lines", "common_share"]
+_SCHEMA = "doc_id long, k int, n_words long, mean_word_length double, symbol_share double, punctuated_lines double, common_share double, windows binary"
+
+
+def _measured(common: CommonWords):
+    """Rows of documents: own statistics and the packed windows. Blank texts have no windows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, *(document(t) if t and not t.isspace() else (None, 0, None, None, None, None, None))) for i, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist())]
-            yield pd.DataFrame(rows, columns=["doc_id", *_MEASURED])
+            filled = np.array([bool(t) and not t.isspace() for t in pdf["text"]], bool)
+            held = {c: np.full(len(pdf), None, object) for c in [*_MEASURED, "windows"]}
+            held["n_words"][:] = 0
+            if filled.any():
+                stats, windows, owner = measure(pdf["text"][filled].tolist(), common)
+                windows = windows[np.argsort(owner, kind="stable")]
+                cuts = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(stats)))]
+                for c in _MEASURED:
+                    held[c][filled] = stats[c].to_numpy(object)
+                held["windows"][filled] = [windows[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+            out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), **held})
+            yield out
 
     return run
 
 
-_MEASURED = ["k", "n_words", "mean_word_length", "symbol_share", "punctuated_lines", "common_share", "units"]
-_SCHEMA = "doc_id long, k int, n_words long, mean_word_length double, symbol_share double, punctuated_lines double, common_share double, units binary"
+def _unpacked(packed: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, characters and statistics of the windows of a batch."""
+    raw = np.frombuffer(b"".join(packed), np.float32).reshape(-1, _FIELDS).astype(float)
+    return raw[:, 0].astype(int), raw[:, 1], raw[:, 2:]
+
+
+def chi_square(x: float, p: int) -> float:
+    """Distribution function with ``p`` degrees of freedom: the series of the incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, half = p / 2, x / 2
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-15:
+        n += 1
+        term *= half / n
+        total += term
+    return total * exp(a * log(half) - half - lgamma(a))
 
 
-def _unpacked(units: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Language, words, characters and statistics (NaN: capitals of a unit all in capitals) of the units of a batch."""
-    raw = np.frombuffer(b"".join(units), np.float32).reshape(-1, _FIELDS).astype(float)
-    x = np.column_stack([np.log1p(raw[:, 1]), raw[:, 3:]])
-    x[x[:, -1] < 0, -1] = np.nan
-    return raw[:, 0].astype(int), raw[:, 1], raw[:, 2], x
+def chi_square_quantile(q: float, p: int) -> float:
+    low, high = 0.0, 1_000.0
+    while high - low > 1e-9:
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, p) < q else (low, middle)
+    return low
+
+
+def consistency(q: float, p: int) -> float:
+    """What the covariance of Gaussian points within their quantile ``q`` falls short by."""
+    return q / chi_square(chi_square_quantile(q, p), p + 2)
 
 
 class Prose:
-    """Mean and inverse covariance per language."""
+    """Mean and covariance per language."""
 
     def __init__(self, mean: np.ndarray, covariance: np.ndarray):
-        self.mean = mean
+        self.mean, self.covariance = mean, covariance
         self.inverse = np.linalg.inv(covariance)
 
-    def distance(self, lang: np.ndarray, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), np.inf)
-        for k in range(len(self.mean)):
-            d = np.nan_to_num(x[lang == k] - self.mean[k])
-            out[lang == k] = np.einsum("ij,jk,ik->i", d, self.inverse[k], d)
-        return out
+    def parts(self, lang: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Contribution of each statistic to the squared distance, which is their sum."""
+        off = x - self.mean[lang]
+        return off * np.einsum("njk,nk->nj", self.inverse[lang], off)
 
 
-def _start(units: DataFrame, n_lang: int) -> Prose:
-    """Medians and median absolute deviations from histograms."""
-    lows, highs = np.array([(a, b) for a, b, _ in UNIT_STATISTICS.values()]).T
-    n_stat = len(UNIT_STATISTICS)
+def _start(windows: DataFrame, n_lang: int) -> Prose:
+    """Medians and median absolute deviations from histograms; a language without windows has those of all."""
+    low, high = _RANGES.T
+    p = len(STATISTICS)
+    width = (high - low) / _BINS
 
     def part(pdf: pd.DataFrame) -> np.ndarray:
-        lang, words, _, x = _unpacked(pdf["units"])
-        out = np.zeros((n_lang, n_stat, _BINS))
-        bins = np.clip((x - lows) / (highs - lows) * _BINS, 0, _BINS - 1)
-        for j in range(n_stat):
-            use = (words >= CORE_WORDS) & ~np.isnan(x[:, j])
-            np.add.at(out[:, j], (lang[use], bins[use, j].astype(int)), 1)
-        return out
-
-    counts = summed(units, part, (n_lang, n_stat, _BINS))
-    mean, spread = np.zeros((n_lang, n_stat)), np.ones((n_lang, n_stat))
+        lang, _, x = _unpacked(pdf["windows"])
+        bins = np.clip((x - low) / width, 0, _BINS - 1).astype(int)
+        at = (lang[:, None] * p + np.arange(p)) * _BINS + bins
+        return np.bincount(at.ravel(), minlength=n_lang * p * _BINS).reshape(n_lang, p, _BINS).astype(float)
+
+    counts = summed(windows, part, (n_lang, p, _BINS))
+    counts = np.where(counts.sum(2, keepdims=True) > 0, counts, counts.sum(0, keepdims=True))
+    mean, spread = np.zeros((n_lang, p)), np.ones((n_lang, p))
     for k in range(n_lang):
-        for j in range(n_stat):
-            centre = lows[j] + (np.arange(_BINS) + 0.5) / _BINS * (highs[j] - lows[j])
-            if counts[k, j].sum():
-                half = counts[k, j].sum() / 2
-                mean[k, j] = centre[np.searchsorted(np.cumsum(counts[k, j]), half)]
+        for j in range(p):
+            centre, held = low[j] + (np.arange(_BINS) + 0.5) * width[j], counts[k, j]
+            half = held.sum() / 2
+            if half:
+                mean[k, j] = centre[np.searchsorted(np.cumsum(held), half)]
                 off = np.abs(centre - mean[k, j])
-                order = np.argsort(off)
-                spread[k, j] = 1.4826 * off[order][np.searchsorted(np.cumsum(counts[k, j][order]), half)]
-    return Prose(mean, np.array([np.diag(np.maximum(s, _LEAST) ** 2) for s in spread]))
-
-
-def fit_prose(units: DataFrame, n_lang: int) -> Prose:
-    """Robust mean and covariance per language over the units of all documents."""
-    prose, n_stat = _start(units, n_lang), len(UNIT_STATISTICS)
-    for _ in range(TURNS):
-
-        def part(pdf: pd.DataFrame, prose: Prose = prose) -> np.ndarray:
-            lang, words, _, x = _unpacked(pdf["units"])
-            core = (words >= CORE_WORDS) & (prose.distance(lang, x) <= CORE)
-            out = np.zeros((n_lang, n_stat + 1, n_stat + 1))
-            for k in range(n_lang):
-                at = core & (lang == k)
-                y = np.where(np.isnan(x[at]), prose.mean[k], x[at])
-                y = np.column_stack([np.ones(len(y)), y])
-                out[k] = y.T @ y
+                order = np.argsort(off, kind="stable")
+                spread[k, j] = 1.4826 * off[order][np.searchsorted(np.cumsum(held[order]), half)]
+                if spread[k, j] < width[j]:  # more than half of the windows have one value
+                    spread[k, j] = max(np.sqrt((held * off**2).sum() / held.sum()), width[j])
+    return Prose(mean, np.array([np.diag(s**2) for s in spread]))
+
+
+def _shrunk(n: np.ndarray, mean: np.ndarray, covariance: np.ndarray) -> Prose:
+    """Each language drawn towards the pooled covariance, by as much as its own is uncertain against what sets it apart."""
+    pooled_mean = (n[:, None] * mean).sum(0) / max(1.0, n.sum())
+    pooled = (n[:, None, None] * covariance).sum(0) / max(1.0, n.sum())
+    pooled = pooled + np.diag(((_RANGES[:, 1] - _RANGES[:, 0]) / _BINS) ** 2)  # no finer than the first histogram
+    scale = 1 / np.sqrt(np.diag(pooled))
+    out_mean, out = mean.copy(), covariance.copy()
+    for k in range(len(n)):
+        s = covariance[k] * np.outer(scale, scale)
+        unsure = (np.outer(np.diag(s), np.diag(s)) + s**2).sum() / max(n[k], 1.0)
+        apart = ((s - pooled * np.outer(scale, scale)) ** 2).sum()
+        weight = min(1.0, unsure / max(apart, 1e-12)) if n[k] > len(STATISTICS) else 1.0
+        out[k] = (1 - weight) * covariance[k] + weight * pooled
+        out_mean[k] = (n[k] * mean[k] + pooled_mean) / (n[k] + 1) if n[k] else pooled_mean
+    return Prose(out_mean, out)
+
+
+def fit_prose(windows: DataFrame, n_lang: int) -> Prose:
+    """Robust mean and covariance per language over the windows of all documents."""
+    prose, p = _start(windows, n_lang), len(STATISTICS)
+    for share in [CORE] * TURNS[0] + [FINAL] * TURNS[1]:
+        within = chi_square_quantile(share, p)
+
+        def part(pdf: pd.DataFrame, prose: Prose = prose, within: float = within) -> np.ndarray:
+            lang, _, x = _unpacked(pdf["windows"])
+            use = prose.parts(lang, x).sum(1) <= within
+            y = np.column_stack([np.ones(use.sum()), x[use]])
+            out = np.zeros((n_lang, p + 1, p + 1))
+            for k in np.unique(lang[use]):
+                z = y[lang[use] == k]
+                out[k] = z.T @ z
             return out
 
-        moments = summed(units, part, (n_lang, n_stat + 1, n_stat + 1))
-        mean, covariance = prose.mean.copy(), np.array([np.linalg.inv(i) for i in prose.inverse])
-        for k in range(n_lang):
-            n = moments[k, 0, 0]
-            if n > 10 * n_stat:
-                mean[k] = moments[k, 0, 1:] / n
-                covariance[k] = moments[k, 1:, 1:] / n - np.outer(mean[k], mean[k])
-                covariance[k] += np.diag(np.maximum(0, _LEAST**2 - np.diag(covariance[k])))
-        prose = Prose(mean, covariance)
+        moments = summed(windows, part, (n_lang, p + 1, p + 1))
+        n = moments[:, 0, 0]
+        if not n.sum():
+            break
+        mean = moments[:, 0, 1:] / np.maximum(1, n)[:, None]
+        covariance = moments[:, 1:, 1:] / np.maximum(1, n)[:, None, None] - mean[:, :, None] * mean[:, None, :]
+        prose = _shrunk(n, mean, consistency(share, p) * covariance)
     return prose
 
 
-def _prose_share(prose: Prose):
+def _judged(prose: Prose):
+    """Adds the distance of each document, its parts, and the share of its characters in windows of prose."""
+    cut = chi_square_quantile(PROSE, len(STATISTICS))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            share = np.full(len(pdf), np.nan)
-            has = pdf["units"].notna().to_numpy()
+            has = pdf["windows"].notna().to_numpy()
+            told = np.full((len(pdf), 2 + len(STATISTICS)), np.nan)
             if has.any():
-                packed = pdf["units"][has]
-                lang, _, chars, x = _unpacked(packed)
+                packed = pdf["windows"][has]
+                lang, chars, x = _unpacked(packed)
                 doc = np.repeat(np.arange(len(packed)), packed.map(len).to_numpy() // (4 * _FIELDS))
-                good = np.bincount(doc, np.where(prose.distance(lang, x) <= PROSE, chars, 0), len(packed))
-                share[has] = good / np.maximum(1, np.bincount(doc, chars, len(packed)))
-            out = pdf.drop(columns="units")
-            out["prose_share"] = pd.Series(share, index=pdf.index).astype(object).where(has, None)
+                parts = prose.parts(lang, x)
+                squared = parts.sum(1)
+                total = np.maximum(np.bincount(doc, chars, len(packed)), 1e-9)
+                share = np.bincount(doc, chars * (squared <= cut), len(packed)) / total
+                order = np.lexsort((squared, doc))
+                up_to = np.cumsum(chars[order])
+                before = np.r_[0, up_to[np.flatnonzero(np.diff(doc[order]))]]
+                reached = np.flatnonzero(up_to - before[doc[order]] >= total[doc[order]] / 2 - 1e-6)
+                _, at = np.unique(doc[order][reached], return_index=True)
+                middle = order[reached[at]]
+                told[has] = np.column_stack([squared[middle], share, parts[middle]])
+            out = pdf.drop(columns="windows")
+            for i, c in enumerate(["squared", "prose_share", *[f"from_{s}" for s in STATISTICS]]):
+                out[c] = pd.Series(told[:, i], pdf.index).astype(object).where(has, None)
             yield out
 
     return run
 
 
-def _common_words(words: DataFrame) -> tuple[list[str], dict[str, int]]:
-    """Languages, and for each word a bit per language."""
-    held = words.where("lang IS NOT NULL AND word IS NOT NULL").select("lang", "word").distinct().limit(MAX_COMMON_WORDS + 1).collect()
-    if len(held) > MAX_COMMON_WORDS:
-        raise ValueError(f"more than {MAX_COMMON_WORDS} common words; they are sent to every task")
-    read = sorted({(r.lang.strip().lower(), unicodedata.normalize("NFKC", r.word).strip().lower()) for r in held})
-    languages = sorted({x for x, _ in read})
-    if len(languages) > 8:
-        raise ValueError("at most 8 languages have a bit in a byte")
-    common: dict[str, int] = {}
-    for lang, word in read:
-        for spelt in {word, word.upper(), word.capitalize()}:  # as words stand in texts
-            common[spelt] = common.get(spelt, 0) | 1 << languages.index(lang)
-    return languages, common
+def _common_words(words: DataFrame) -> CommonWords:
+    """The word list, which is sent to every task: a list of frequent words per language, not a table that grows with
+    the corpus. Words of more than one run of letters can stand in no text and are left out."""
+    held = words.where("lang IS NOT NULL AND word IS NOT NULL").select("lang", "word").distinct().collect()
+    read = {(r.lang.strip().lower(), normal(r.word).strip()) for r in held}
+    kinds = _tables()[0]
+    return CommonWords(sorted((a, b) for a, b in read if b and (kinds[_codes(b)] == _LETTER).all()))
 
 
 def text_statistics(docs: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, language, n_words, mean_word_length, symbol_share, punctuated_lines,
     common_share, prose_share, distance`` and ``from_<statistic>``, the parts of the squared ``distance``.
 
-    The language is the one with most common words in the text. A null, empty or blank text has n_words 0 and nulls
-    elsewhere. Words are runs of letters; symbols are neither letters, digits nor white space; redactions count only as
-    characters. Documents without ``doc_id`` are kept with a null id; repeated ids give repeated rows. With no common
-    words at all there is one nameless language. Extra columns are ignored.
+    The language is the one with most common words in the text, of equal ones the first by name. A null, empty or blank text has n_words 0 and
+    nulls elsewhere. Documents without ``doc_id`` are kept with a null id; repeated ids give repeated rows. With no
+    common words at all there is one nameless language; a language with few or no windows is judged by what is pooled
+    from all. A line of more than 2 ** 20 characters counts as several. Extra columns are ignored.
     """
     stage = Stage(docs.sparkSession, "quality")
-    languages, common = _common_words(common_words)
-    n_lang = max(1, len(languages))
+    common = _common_words(common_words)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    measured = stage.write(rows.mapInPandas(_measure(languages, common), _SCHEMA), "measured")
-    prose = fit_prose(measured.where("units IS NOT NULL").select("units"), n_lang)
-    shares = stage.write(measured.mapInPandas(_prose_share(prose), _SCHEMA.replace("units binary", "prose_share double")), "shares")
-    names = F.array(*[F.lit(x) for x in languages or [""]])
-    shares = shares.withColumn("log_words", F.log1p("n_words")).withColumn("language", F.get(names, "k"))
-    return _with_distance(shares, n_lang).select("doc_id", "language", "n_words", "mean_word_length", "symbol_share", "punctuated_lines", "common_share", "prose_share", "distance", *[f"from_{s}" for s in DOCUMENT_STATISTICS])
-
-
-def _with_distance(shares: DataFrame, n_lang: int) -> DataFrame:
-    names = list(DOCUMENT_STATISTICS)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    moments = shares.where(F.col("prose_share") >= PROSE_DOCUMENT).groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(a) for a in names], *[F.covar_pop(a, b).alias(f"{a}*{b}") for a, b in pairs])
-    least, per_lang = np.array(list(DOCUMENT_STATISTICS.values())), {r["k"]: r for r in moments.collect()}  # a row per language
-    parts: dict[str, Column] = {s: F.lit(None).cast("double") for s in names}
-    for k in range(n_lang):
-        r = per_lang.get(k)
-        if r is None or r["n"] <= 10 * len(names):
-            continue
-        cov = np.array([[r[f"{a}*{b}"] if (a, b) in pairs else r[f"{b}*{a}"] for b in names] for a in names])
-        inverse = np.linalg.inv(cov + np.diag(np.maximum(0, least**2 - np.diag(cov))))
-        off = [F.col(s) - F.lit(float(r[s])) for s in names]
-        for i, s in enumerate(names):
-            inner = sum((off[j] * F.lit(float(inverse[i, j])) for j in range(len(names))), F.lit(0.0))
-            parts[s] = F.when(F.col("k") == k, off[i] * inner).otherwise(parts[s])
-    out = shares.withColumns({f"from_{s}": c for s, c in parts.items()})
-    squared = sum((F.col(f"from_{s}") for s in names[1:]), F.col(f"from_{names[0]}"))
-    return out.withColumn("distance", F.sqrt(F.when(squared < 0, 0.0).otherwise(squared)))
-
-
-def not_prose(statistics: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """Documents that are not blank and of which less than ``least_share`` of the characters stand in prose."""
-    return statistics.where(F.col("prose_share") < least_share)
+    measured = stage.write(rows.mapInPandas(_measured(common), _SCHEMA), "measured")
+    prose = fit_prose(measured.where("windows IS NOT NULL").select("windows"), len(common.languages))
+    told = ["squared double", "prose_share double", *[f"from_{s} double" for s in STATISTICS]]
+    judged = measured.mapInPandas(_judged(prose), _SCHEMA.replace("windows binary", ", ".join(told)))
+    names = F.array(*[F.lit(x) for x in common.languages])
+    # in a far corner rounding can leave a tiny negative square
+    distance = F.sqrt(F.greatest(F.col("squared"), F.lit(0.0)))
+    judged = judged.withColumn("language", F.get(names, "k")).withColumn("distance", F.when(F.col("squared").isNotNull(), distance))
+    return judged.select("doc_id", "language", "n_words", "mean_word_length", "symbol_share", "punctuated_lines", "common_share", "prose_share", "distance", *[f"from_{s}" for s in STATISTICS])
+
+
+def not_prose(statistics: DataFrame, quantile: float = PROSE) -> DataFrame:
+    """Documents that are not blank and whose median window is farther out than that part of the windows of prose."""
+    return statistics.where(F.col("distance") > F.lit(chi_square_quantile(quantile, len(STATISTICS)) ** 0.5))

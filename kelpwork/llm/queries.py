@@ -111,11 +111,17 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return text_statistics(_table(spark, sf, "documents"), _table(spark, sf, "common_words"))
 
 
+def p9_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics that need no word list and no estimation, of documents that are not blank."""
+    held = p9_statistics(spark, sf).where("distance IS NOT NULL")
+    return held.select("doc_id", "n_words", *[F.round(c, 9).alias(c) for c in ("mean_word_length", "symbol_share", "punctuated_lines")])
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return not_prose(p9_statistics(spark, sf)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_report, p3_links, p5_found, p5_assignment, p5_balance, p6_found, p6_groups, p7_ids, p8_found, p8_leaks, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_report, p3_links, p5_found, p5_assignment, p5_balance, p6_found, p6_groups, p7_ids, p8_found, p8_leaks, p9_found, p9_counts, p9_statistics)}
 
 _SPLIT = """CASE WHEN lower(trim({0}, E' \\t\\r\\n')) IN ('train', 'training') THEN 'train'
   WHEN lower(trim({0}, E' \\t\\r\\n')) IN ('val', 'valid', 'validation') THEN 'val'
@@ -156,4 +162,10 @@ SELECT split, source, count(*) AS n_rows, count(n) AS n_overlapping, CAST(coales
     "p5_found": f"SELECT cluster_id FROM split_rows WHERE cluster_id IS NOT NULL GROUP BY cluster_id HAVING count(DISTINCT {_SPLIT.format('split')}) > 1",
     "p6_groups": f"WITH RECURSIVE {_CLOSURE} SELECT image_path, group_id FROM g",
     "p6_found": f"WITH RECURSIVE {_CLOSURE} SELECT group_id AS first_path, image_path FROM g WHERE group_id <> image_path",
+    "p9_counts": r"""
+WITH t AS (SELECT doc_id, regexp_replace(nfc_normalize(text), '\p{Cf}', '', 'g') AS t FROM documents WHERE regexp_replace(text, '[\p{Z}\x09-\x0d\x1c-\x1f\x{85}]', '', 'g') <> ''),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[\p{L}\p{M}]+') AS words, list_filter(regexp_split_to_array(t, '[\r\n]'), lambda x: regexp_replace(x, '[\p{Z}\x09-\x0d\x1c-\x1f\x{85}]', '', 'g') <> '') AS lines FROM t)
+SELECT doc_id, len(words) AS n_words, round(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::DOUBLE / greatest(1, len(words))::DOUBLE, 9) AS mean_word_length,
+  round(length(regexp_replace(t, '[\p{L}\p{M}\p{Nd}\p{Z}\x09-\x0d\x1c-\x1f\x{85}]', '', 'g'))::DOUBLE / greatest(1, length(t))::DOUBLE, 9) AS symbol_share,
+  round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…][\p{Z}\x09-\x0d\x1c-\x1f\x{85}"''»”’)\]“]*$')))::DOUBLE / greatest(1, len(lines))::DOUBLE, 9) AS punctuated_lines FROM w""",
 }

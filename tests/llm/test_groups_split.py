@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from kelpwork.llm import stratify
+from kelpwork.llm import groups, stratify
 from kelpwork.llm.groups import linked_groups
 from kelpwork.llm.stratify import components_of, grouped_split
 
@@ -22,10 +22,10 @@ def brute(pairs):
     for a, b in pairs:
         if a is not None and b is not None:
             parent[find(a)] = find(b)
-    groups = defaultdict(list)
+    held = defaultdict(list)
     for x in list(parent):
-        groups[find(x)].append(x)
-    return {x: min(g, key=lambda s: s.encode()) for g in groups.values() for x in g}
+        held[find(x)].append(x)
+    return {x: min(g, key=lambda s: s.encode()) for g in held.values() for x in g}
 
 
 def shapes():
@@ -43,14 +43,22 @@ def shapes():
 
 @pytest.mark.parametrize("hot", [100_000, 20])
 def test_groups(spark, monkeypatch, hot):
-    monkeypatch.setattr("kelpwork.llm.groups.HOT_ROWS", hot)
-    monkeypatch.setattr("kelpwork.plans.skew.HOT_ROWS", max(hot, 40))
+    monkeypatch.setattr("kelpwork.plans.skew.HOT_ROWS", hot)
+    monkeypatch.setattr("kelpwork.plans.skew.MOST_ROWS", hot)
     pairs = shapes()
     df = spark.createDataFrame([(a, b, 1, "u") for a, b in pairs], "a string, b string, root int, name string")
     rows = linked_groups(df, "a", "b").collect()
     assert len(rows) == len({r.name for r in rows}) and {r.name: r.group_id for r in rows} == brute(pairs)
 
 
+def test_shared_hashes(spark, monkeypatch):
+    """Names whose hashes are equal take another one."""
+    monkeypatch.setattr(groups, "_hashed", lambda name, seed: F.pmod(F.xxhash64(name, F.lit(seed)), F.lit((400, 900, 2**62)[min(seed, 2)])))
+    pairs = shapes()
+    rows = linked_groups(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()
+    assert {r.name: r.group_id for r in rows} == brute(pairs)
+
+
 def test_no_pairs(spark):
     assert linked_groups(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
     assert [tuple(r) for r in linked_groups(spark.createDataFrame([("x", "x")], "a string, b string"), "a", "b").collect()] == [("x", "x")]

@@ -101,7 +101,7 @@ def test_common_length():
 PROSE = "The notary has not shown that the sum was paid in two parts, and the court is of the view that the lease had ended by then. It follows that the claim of the tenant was not barred, since no notice had been given to the owner of the house. "
 
 
-def test_statistics(spark):
+def test_statistics(spark, monkeypatch):
     common = spark.read.parquet(f"{MIDDLE}/common_words.parquet")
     corpus = pd.read_parquet(f"{MIDDLE}/documents.parquet")[["doc_id", "text"]].assign(doc_id=lambda d: d["doc_id"] + 10_000)
     salad = " ".join(random.Random(1).choices(PROSE.lower().replace(",", "").replace(".", "").split(), k=150))
@@ -120,9 +120,63 @@ def test_statistics(spark):
         assert got[i].n_words == 0 and got[i].prose_share is None and got[i].distance is None
     r = got[1]
     assert r.language == "en" and r.n_words == 3 * len(PROSE.split()) and 0.4 < r.common_share < 0.8
-    assert abs(r.distance**2 - sum(r[f"from_{s}"] for s in quality.DOCUMENT_STATISTICS)) < 1e-6 or r.distance == 0
-    assert got[12].distance > 3 > got[1].distance or got[12].language != "en"
+    for r in got.values():
+        if r.distance is not None:
+            assert abs(r.distance**2 - sum(r[f"from_{s}"] for s in quality.STATISTICS)) < 1e-6 * (1 + r.distance**2)
     assert out.count() == len(docs)
+    # half and twice the constants that are left decide the same here
+    decided = lambda: {r.doc_id for r in not_prose(text_statistics(df, common)).where("doc_id < 100").collect()}
+    for name, values in {"CORE": (0.4, 0.9), "TURNS": ((2, 1), (8, 4)), "_BINS": (2_000, 8_000)}.items():
+        for value in values:
+            monkeypatch.setattr(quality, name, value)
+            assert decided() == {11, 12, 13, 14, 24}, (name, value)
+        monkeypatch.undo()
+
+
+def plain(text):
+    """The statistics character by character."""
+    import unicodedata
+
+    text = "".join(c for c in unicodedata.normalize("NFC", text) if unicodedata.category(c) != "Cf")
+    kind = lambda c: unicodedata.category(c)
+    words = "".join(c if kind(c)[0] in "LM" else " " for c in text).split(" ")
+    words = [w for w in words if w]
+    blank = lambda c: kind(c)[0] == "Z" or c in "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85"
+    lines = [x for x in text.replace("\r", "\n").split("\n") if not all(map(blank, x))]
+    ended = 0
+    for x in lines:
+        while x and (blank(x[-1]) or x[-1] in quality._CLOSING):
+            x = x[:-1]
+        ended += x[-1:] in tuple(quality._ENDS)
+    symbols = sum(not blank(c) and kind(c)[0] not in "LM" and kind(c) != "Nd" for c in text)
+    return len(words), sum(map(len, words)) / max(1, len(words)), symbols / max(1, len(text)), ended / max(1, len(lines))
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 60])
+def test_measures_equal_plain_ones(monkeypatch, chunk):
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    r = random.Random(7)
+    pool = ["the", "Über", "e\u0301a", "x\xady", "\u200b", " ", " ", " ", "\n", "\r\n", ".", "?”", "…", ")", "12", "½", "█", "\x1e", "\x85", "\u3000", "日本", "😀"]
+    texts = ["".join(r.choices(pool, k=r.randint(1, 40))) for _ in range(60)] + ["a. b\n" * 50]
+    texts = [t for t in texts if t.strip()]
+    out, windows, owner = quality.measure(texts, quality.CommonWords([("en", "the"), ("de", "über")]))
+    for t, row in zip(texts, out.itertuples()):
+        assert np.allclose((row.n_words, row.mean_word_length, row.symbol_share, row.punctuated_lines), plain(t)), repr(t)
+    assert set(owner) == set(range(len(texts))) and windows.shape == (len(owner), quality._FIELDS)
+
+
+def test_common_words_of_many_languages():
+    words_ = [(f"l{i:02}", w) for i in range(40) for w in ("eins", f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}")]
+    common = quality.CommonWords(words_)
+    out, _, _ = quality.measure(["EINS wortcb, wortcb."], common)
+    assert common.languages[out.k[0]] == "l28" and out.common_share[0] == 1
+
+
+def test_chi_square():
+    assert abs(quality.chi_square_quantile(0.95, 4) - 9.487729) < 1e-5 and abs(quality.chi_square(7.814728, 3) - 0.95) < 1e-6
+    x = np.random.default_rng(0).standard_normal((200_000, 4))
+    near = x[(x**2).sum(1) <= quality.chi_square_quantile(0.75, 4)]
+    assert np.allclose(np.cov(near.T) * quality.consistency(0.75, 4), np.eye(4), atol=0.02)
 
 
 def test_statistics_of_nothing(spark):
