@@ -21,23 +21,23 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """
     stage = Stage(edges.sparkSession, "components")
     pairs = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).where("hi <> lo").distinct()
-    pairs, turn = stage.write(pairs, "0"), 0
+    pairs, n_pairs = stage.counted(pairs, "0")
+    mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")))
     state = None
-    while turn < MAX_ROUNDS:
-        turn += 1
+    for turn in range(1, MAX_ROUNDS + 1):
         ways = pairs.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionAll(pairs.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
         least = ways.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-        large = hot_lookup(ways.where("y > x"), "x", least, pairs.count()).select(F.col("y").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        large = stage.write(large, f"large{turn}")
+        large = hot_lookup(ways.where("y > x"), "x", least, n_pairs).select(F.col("y").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        large, n_large = stage.counted(large, f"large{turn}")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = hot_lookup(large, "hi", least, large.count())
+        small = hot_lookup(large, "hi", least, n_large)
         small = small.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi <> lo").distinct()
-        pairs = stage.write(small, str(turn))
+        pairs, now = stage.counted(small, str(turn), mark)
         stage.drop(f"large{turn}")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        if now == state:
             break
-        state = tuple(now)
+        stage.drop(str(turn - 1))
+        state, n_pairs = now, now[0]
     else:
         raise ValueError(f"no fixed point after {MAX_ROUNDS} rounds")
     roots = pairs.select(F.col("lo").alias("id")).distinct().select("id", F.col("id").alias("component"))

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,10 +71,10 @@ class Stage:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """The same, and the number of rows, which the writing job counts."""
+    def counted(self, df: DataFrame, name: str, of: Column | None = None) -> tuple[DataFrame, int]:
+        """The same, and the number of rows, or another aggregate, which the writing job finds."""
         seen = Observation()
-        table = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        table = self.write(df.observe(seen, (F.count(F.lit(1)) if of is None else of).alias("n")), name)
         return table, seen.get["n"]
 
     def drop(self, name: str) -> None:
