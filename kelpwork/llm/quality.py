@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpwork.llm import characters
+from kelpwork.llm.characters import codes_of, hashes, pieces
 from kelpwork.llm.partials import summed
 from kelpwork.plans.shared import Stage
 
@@ -36,8 +38,6 @@ WINDOW = 300
 #: windows that stays below the cut.
 CORE, FINAL, PROSE = 0.75, 0.975, 0.99999
 TURNS = (4, 2)
-#: Characters that are looked at at once; longer texts are cut at a line end, else at white space.
-CHUNK = 1 << 20
 
 STATISTICS = ("words_per_end", "chars_per_word", "marks", "common")
 #: Range of the histogram that gives the first median of each statistic. Values beyond count at its ends.
@@ -47,9 +47,6 @@ _FIELDS = 2 + len(STATISTICS)  # language, characters, statistics
 
 _ENDS, _CLOSING = ".!?:;…", "\"'»”’)]“"
 _OTHER, _LETTER, _DIGIT, _SPACE, _FORMAT = range(5)
-# odd numbers have an inverse modulo 2**64, so a hash of any stretch comes from running sums
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @lru_cache(maxsize=1)
@@ -70,22 +67,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return kind, small, ends, closing
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (_BASE, _INVERSE))
-
-
-def _hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each stretch of code points, in small letters, wherever it stands."""
-    power, inverse = _powers(1 << max(12, len(codes).bit_length()))
-    with np.errstate(over="ignore"):
-        up_to = np.r_[np.uint64(0), np.cumsum(_tables()[1][codes].astype(np.uint64) * power[: len(codes)])]
-        return (up_to[end] - up_to[start]) * inverse[start]
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _small(codes: np.ndarray) -> np.ndarray:
+    return _tables()[1][codes]
 
 
 def normal(text: str) -> str:
@@ -99,31 +82,22 @@ class CommonWords:
         self.languages = sorted({x for x, _ in words}) or [""]
         held: dict[int, set[int]] = {}
         for lang, word in words:
-            codes = _codes(word)
-            held.setdefault(int(_hashes(codes, np.array([0]), np.array([len(codes)]))[0]), set()).add(self.languages.index(lang))
+            codes = codes_of(word)
+            held.setdefault(int(hashes(_small(codes), np.array([0]), np.array([len(codes)]))[0]), set()).add(self.languages.index(lang))
         self.known = np.array(sorted(held), np.uint64)
         self.member = np.zeros((len(held), len(self.languages)))
         for i, h in enumerate(self.known.tolist()):
             self.member[i, list(held[h])] = 1
 
-    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def found(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are known, and their places."""
         if not len(self.known):
-            return np.zeros(len(hashes), bool), np.zeros(0, int)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        hit = self.known[at] == hashes
+            return np.zeros(len(wanted), bool), np.zeros(0, int)
+        at = np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)
+        hit = self.known[at] == wanted
         return hit, at[hit]
 
 
-def _pieces(text: str) -> Iterator[str]:
-    at = 0
-    while len(text) - at > CHUNK:
-        end = text.rfind("\n", at + 1, at + CHUNK) + 1 or text.rfind(" ", at + 1, at + CHUNK) + 1 or at + CHUNK
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
 def _count(at: np.ndarray, n: int, of: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(at if of is None else at[of], minlength=n).astype(float)
 
@@ -143,7 +117,7 @@ def measure(texts: list[str], common: CommonWords) -> tuple[pd.DataFrame, np.nda
         if not waiting:
             return
         of = np.array([i for i, _ in waiting])
-        codes = _codes("\n".join([*(p for _, p in waiting), ""]))
+        codes = codes_of("\n".join([*(p for _, p in waiting), ""]))
         piece = np.repeat(np.arange(len(waiting)), [len(p) + 1 for _, p in waiting])
         keep = kinds[codes] != _FORMAT
         codes, piece = codes[keep], piece[keep]
@@ -159,7 +133,7 @@ def measure(texts: list[str], common: CommonWords) -> tuple[pd.DataFrame, np.nda
         letter = kind == _LETTER
         start = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
         stop = np.flatnonzero(letter & ~np.r_[letter[1:], False]) + 1
-        hit, which = common.found(_hashes(codes, start, stop))
+        hit, which = common.found(hashes(_small(codes), start, stop))
         in_window = window[start]
         hits = np.column_stack([np.bincount(in_window[hit], common.member[which, k] if len(which) else None, minlength=n_windows) for k in range(n_lang)])
         space, sentence = kind == _SPACE, ends_at[codes]
@@ -191,10 +165,10 @@ def measure(texts: list[str], common: CommonWords) -> tuple[pd.DataFrame, np.nda
 
     held = 0
     for i, text in enumerate(texts):
-        for p in _pieces(normal(text)):
+        for p in pieces(normal(text)):
             waiting.append((i, p))
             held += len(p)
-            if held >= CHUNK:
+            if held >= characters.CHUNK:
                 flush()
                 held = 0
     flush()
@@ -386,7 +360,7 @@ def _common_words(words: DataFrame) -> CommonWords:
     held = words.where("lang IS NOT NULL AND word IS NOT NULL").select("lang", "word").distinct().collect()
     read = {(r.lang.strip().lower(), normal(r.word).strip()) for r in held}
     kinds = _tables()[0]
-    return CommonWords(sorted((a, b) for a, b in read if b and (kinds[_codes(b)] == _LETTER).all()))
+    return CommonWords(sorted((a, b) for a, b in read if b and (kinds[codes_of(b)] == _LETTER).all()))
 
 
 def text_statistics(docs: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from kelpwork.llm import leaks, quality, tokens
+from kelpwork.llm import characters, leaks, quality, tokens
 from kelpwork.llm.leaks import common_length, leaked_items, words
 from kelpwork.llm.quality import not_prose, text_statistics
 from kelpwork.llm.tokens import TOKENIZERS, VOCABULARY, encoder, token_ids
@@ -154,7 +154,7 @@ def plain(text):
 
 @pytest.mark.parametrize("chunk", [1 << 20, 60])
 def test_measures_equal_plain_ones(monkeypatch, chunk):
-    monkeypatch.setattr(quality, "CHUNK", chunk)
+    monkeypatch.setattr(characters, "CHUNK", chunk)
     r = random.Random(7)
     pool = ["the", "Über", "e\u0301a", "x\xady", "\u200b", " ", " ", " ", "\n", "\r\n", ".", "?”", "…", ")", "12", "½", "█", "\x1e", "\x85", "\u3000", "日本", "😀"]
     texts = ["".join(r.choices(pool, k=r.randint(1, 40))) for _ in range(60)] + ["a. b\n" * 50]
