@@ -3,8 +3,8 @@
 Codes within a Hamming radius r agree in at least one of r + 1 segments, so segments are the join keys and the distance
 is verified on the bits. The three kinds of link are made disjoint by construction (same cluster; same file but not the
 same cluster; near codes but neither), so the pairs need no global distinct. Rows of one cluster, of one file and
-cluster, or of one code and cluster are a class; links join classes, and only the final step expands the members, in
-blocks, so that a class of any size is spread over many tasks.
+cluster, or of one code and cluster are a class; links join classes, and only the list of pairs expands the members, in
+blocks, so that a class of any size is spread over many tasks. Counts come from the sizes of classes alone.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpwork.functions.text import split_of
+from kelpwork.operators.fingerprint import distance_of, words64
 from kelpwork.plans.shared import Stage
-from kelpwork.plans.skew import hot_lookup
+from kelpwork.plans.skew import blocked_join, hot_lookup
 
 RADIUS = 6
 CODE_BYTES = 32
 #: Members of one block at the expansion.
-BLOCK = 4096
+BLOCK = 1024
 #: Pairs that a task of the expansion makes, about.
 TASK_PAIRS = 20_000_000
 
@@ -44,10 +45,6 @@ def segments(n_bytes: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def _words(code: str) -> list[Column]:
-    return [F.conv(F.hex(F.substring(code, 4 * i + 1, 4)), 16, 10).cast("long") for i in range(CODE_BYTES // 4)]
-
-
 def near_codes(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(code_a, code_b)`` with code_a in train, code_b in eval and at most ``radius`` differing bits.
 
@@ -58,15 +55,15 @@ def near_codes(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = codes.select("code", "train", "eval", "home", F.explode(cut).alias("c")).select("code", "train", "eval", "home", "c.part", "c.key")
     a = keyed.where("train").select("part", "key", F.col("code").alias("code_a"), F.col("home").alias("home_a"))
     b = keyed.where("eval").select("part", "key", F.col("code").alias("code_b"), F.col("home").alias("home_b"))
-    # words are made of the pairs that meet, so that only the codes travel
-    distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(_words("code_a"), _words("code_b"))), F.lit(0))
+    # words are made of the pairs that meet, so that only the codes travel; codes that share a segment (blank pictures) meet in blocks
     far_home = F.col("home_a").isNull() | F.col("home_b").isNull() | (F.col("home_a") != F.col("home_b"))
-    return a.join(b, ["part", "key"]).where(far_home & (distance <= radius)).select("code_a", "code_b").distinct()
+    near = distance_of(words64(F.col("code_a")), words64(F.col("code_b"))) <= radius
+    return blocked_join(a, b, ["part", "key"], "code_a", "code_b").where(far_home & near).select("code_a", "code_b").distinct()
 
 
 def _cluster_key() -> Column:
     """The cluster as text, empty for none; two rows without a cluster are not in the same one."""
-    return F.when(F.col("cluster").isNull(), "").otherwise(F.concat(F.lit("c"), F.col("cluster").cast("string"))).alias("home")
+    return F.when(F.col("cluster").isNull(), "").otherwise(F.concat(F.lit("c"), F.col("cluster").cast("string")))
 
 
 def _not_same(a: str, b: str) -> Column:
@@ -116,45 +113,76 @@ class SplitOverlap:
         one = rows.select(F.col("row_idx").cast("long").alias("row_id"), F.col("cluster_id").alias("cluster"), file_key(F.col("image_path")).alias("path"), split_of(F.col("split")).alias("split"), "source")
         one = one.where("row_id IS NOT NULL AND split IS NOT NULL").dropDuplicates(["row_id"])
         codes = prints.where(F.octet_length("fp") == CODE_BYTES).groupBy(F.col("row_idx").cast("long").alias("row_id")).agg(F.min("fp").alias("code"))
-        self.units = self.stage.write(one.join(codes, "row_id", "left").withColumn("train", F.col("split") == "train"), "units")
+        units = one.join(codes, "row_id", "left").withColumn("train", F.col("split") == "train").withColumn("home", _cluster_key())
+        self.units, self.n_units = self.stage.counted(units, "units")
+        numbers = [F.count_if("train").alias("na"), F.count_if(~F.col("train")).alias("nb")]
+        # rows of one file, or of one code, by cluster: pairs within a cluster are never made
+        self.clusters = self.stage.write(self.units.where("cluster IS NOT NULL").groupBy("home").agg(*numbers).where("na > 0 AND nb > 0"), "clusters")
+        self.files = self.stage.write(self.units.where("path IS NOT NULL").groupBy("path", "home").agg(*numbers), "files")
+        self.prints = self.stage.write(self.units.where("code IS NOT NULL").groupBy("code", "home").agg(*numbers), "prints")
+        only_home = F.when((F.count(F.lit(1)) == 1) & (F.min("home") != ""), F.min("home")).alias("home")
+        each = self.stage.write(self.prints.groupBy("code").agg((F.sum("na") > 0).alias("train"), (F.sum("nb") > 0).alias("eval"), only_home), "codes")
+        self.near, self.n_near = self.stage.counted(near_codes(each, radius), "near")
 
     def pairs(self) -> DataFrame:
         """``(row_a, row_b)``: every pair of a train row and a val or test row that is linked, smaller id first, once."""
-        units, n_units = self.units, self.units.count()
-        numbers = [F.count_if("train").alias("na"), F.count_if(~F.col("train")).alias("nb")]
-        home = _cluster_key()
-
-        by_cluster = units.where("cluster IS NOT NULL").groupBy(home.alias("ka")).agg(*numbers).where("na > 0 AND nb > 0").withColumn("kb", F.col("ka"))
+        units, n_units = self.units, self.n_units
 
         def classes(kind: str, part: DataFrame, train: bool, x: str) -> DataFrame:
             n = "na" if train else "nb"
             return part.where(f"{n} > 0").select(F.col(kind).alias(f"{kind}_{x}"), F.struct(kind, "home").alias(f"k{x}"), n, F.col("home").alias(f"home_{x}"))
 
-        # rows of one file, or of one code, by cluster: pairs within a cluster are never made
-        files = self.stage.write(units.where("path IS NOT NULL").groupBy("path", home).agg(*numbers), "files")
-        by_path = classes("path", files, True, "a").join(classes("path", files, False, "b").withColumnRenamed("path_b", "path_a"), "path_a").where(_not_same("home_a", "home_b"))
+        by_cluster = self.clusters.select(F.col("home").alias("ka"), "na", F.col("home").alias("kb"), "nb")
+        a, b = classes("path", self.files, True, "a").withColumnRenamed("path_a", "path"), classes("path", self.files, False, "b").withColumnRenamed("path_b", "path")
+        by_path = blocked_join(a, b, ["path"], "home_a", "home_b").where(_not_same("home_a", "home_b"))
+        by_code = self.near.join(classes("code", self.prints, True, "a"), "code_a").join(classes("code", self.prints, False, "b"), "code_b").where(_not_same("home_a", "home_b"))
+        links = [self.stage.write(x.select("ka", "na", "kb", "nb"), name) for x, name in ((by_cluster, "by_cluster"), (by_path, "by_path"), (by_code, "by_code"))]
+        out = _expanded(links[0], units, F.col("home"), n_units)
+        out = out.unionByName(_expanded(links[1], units.where("path IS NOT NULL"), F.struct("path", "home"), n_units))
+        return out.unionByName(_expanded(links[2], units.where("code IS NOT NULL"), F.struct("code", "home"), n_units, other_path=True))
 
-        prints = self.stage.write(units.where("code IS NOT NULL").groupBy("code", home).agg(*numbers), "prints")
-        codes = prints.groupBy("code").agg((F.sum("na") > 0).alias("train"), (F.sum("nb") > 0).alias("eval"), F.when((F.count(F.lit(1)) == 1) & (F.min("home") != ""), F.min("home")).alias("home"))
-        near = near_codes(codes, self.radius)
-        by_code = near.join(classes("code", prints, True, "a"), "code_a").join(classes("code", prints, False, "b"), "code_b").where(_not_same("home_a", "home_b"))
+    def counted(self) -> DataFrame:
+        """``(row_id, split, source, n_links)`` of every val and test row; no pair of rows is made.
 
-        links = [self.stage.write(x.select("ka", "na", "kb", "nb"), name) for x, name in ((by_cluster, "by_cluster"), (by_path, "by_path"), (by_code, "by_code"))]
-        out = _expanded(links[0], units, home, n_units)
-        out = out.unionByName(_expanded(links[1], units.where("path IS NOT NULL"), F.struct("path", home), n_units))
-        return out.unionByName(_expanded(links[2], units.where("code IS NOT NULL"), F.struct("code", home), n_units, other_path=True))
+        Links by cluster are the cluster's train rows; by file those of the file, less the ones in the row's own cluster; by code those
+        of all near codes, less the ones in the row's own cluster, less the ones of the row's own file in other clusters.
+        """
+        rows = self.units.where("NOT train").select("row_id", "split", "source", "home", "path", "code")
+        own = F.when(F.col("home") != "", F.col("na")).otherwise(0)
+        of_file = self.files.groupBy("path").agg(F.sum("na").alias("all"))
+        by_file = self.files.where("nb > 0").join(of_file, "path").select(F.struct("path", "home").alias("file"), (F.col("all") - own).alias("n_file")).where("n_file > 0")
+        by_file = self.stage.write(by_file, "n_file")
+        # train rows of near codes
+        of_code = self.prints.groupBy("code").agg(F.sum("na").alias("n")).select(F.col("code").alias("code_a"), "n")
+        by_code = hot_lookup(self.near, "code_a", of_code, self.n_near, "inner").groupBy("code_b").agg(F.sum("n").alias("n_code"))
+        # of these, in the cluster of the row
+        homes = self.prints.where("home <> ''")
+        evals = blocked_join(self.near, homes.where("nb > 0").select(F.col("code").alias("code_b"), "home"), ["code_b"], "code_a", "home")
+        at_home = evals.join(homes.where("na > 0").select(F.col("code").alias("code_a"), "home", "na"), ["code_a", "home"])
+        at_home = at_home.groupBy(F.struct(F.col("code_b").alias("code"), "home").alias("place")).agg(F.sum("na").alias("n_home"))
+        # of these, under the name of the row's file, in other clusters
+        named = rows.where("path IS NOT NULL AND code IS NOT NULL").withColumn("file", F.struct("path", "home"))
+        named = hot_lookup(named, "file", by_file, self.n_units, "inner").select(F.col("code").alias("code_b"), "home", "path").distinct()
+        named = blocked_join(self.near, named, ["code_b"], "code_a", "path")
+        trains = self.units.where("train AND path IS NOT NULL AND code IS NOT NULL").groupBy(F.col("code").alias("code_a"), "path", F.col("home").alias("home_a")).agg(F.count(F.lit(1)).alias("n"))
+        same_file = blocked_join(named, trains, ["code_a", "path"], "home", "home_a").where(_not_same("home", "home_a"))
+        same_file = same_file.groupBy(F.struct(F.col("code_b").alias("code"), "home", "path").alias("spot")).agg(F.sum("n").alias("n_same"))
+
+        out = hot_lookup(rows, "home", self.clusters.select("home", F.col("na").alias("n_cluster")), self.n_units)
+        for key, table in ((F.struct("path", "home").alias("file"), by_file), (F.struct("code", "home").alias("place"), at_home), (F.struct("code", "home", "path").alias("spot"), same_file)):
+            name = table.columns[0]
+            out = hot_lookup(out.withColumn(name, key), name, self.stage.write(table, f"by_{name}"), self.n_units).drop(name)
+        out = hot_lookup(out, "code", by_code.withColumnRenamed("code_b", "code"), self.n_units)
+        n = lambda c: F.coalesce(F.col(c), F.lit(0))
+        return out.select("row_id", "split", "source", (n("n_cluster") + n("n_file") + n("n_code") - n("n_home") - n("n_same")).alias("n_links"))
 
     def report(self) -> DataFrame:
         """Per eval split and source: rows of that split and source, how many of them also occur in train, and pairs.
 
         A null source is a source of its own.
         """
-        pairs = self.pairs()
-        ids = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).groupBy("row_id").agg(F.count(F.lit(1)).alias("n_pairs"))
-        held = self.units.where("NOT train").select("row_id", "split", "source").join(ids, "row_id", "left")
-        return held.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.count("n_pairs").alias("n_overlapping"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"))
+        return self.counted().groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n_links") > 0).alias("n_overlapping"), F.sum("n_links").alias("n_pairs"))
 
     def links(self) -> DataFrame:
         """One row per val or test row that also occurs in train: ``(row_idx, split, n_links)``."""
-        ids = self.pairs().select(F.explode(F.array("row_a", "row_b")).alias("row_id")).groupBy("row_id").agg(F.count(F.lit(1)).alias("n_links"))
-        return self.units.where("NOT train").join(ids, "row_id").select(F.col("row_id").alias("row_idx"), "split", "n_links")
+        return self.counted().where("n_links > 0").select(F.col("row_id").alias("row_idx"), "split", "n_links")

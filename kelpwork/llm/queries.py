@@ -11,8 +11,9 @@ from kelpwork.llm.groups import linked_groups
 from kelpwork.llm.leaks import leaked_items
 from kelpwork.llm.overlap import SplitOverlap
 from kelpwork.llm.quality import not_prose, text_statistics
-from kelpwork.llm.stratify import RATIOS, grouped_split
+from kelpwork.llm.stratify import RATIOS, UNITS, grouped_split
 from kelpwork.llm.tokens import token_ids
+from kelpwork.plans.shared import Stage
 
 #: A pair of paths is a match up to this distance.
 MATCH_DISTANCE = 6
@@ -38,6 +39,11 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return _sampled(spark, sf).report()
 
 
+def p1_wanted(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of the report that no draw decides."""
+    return p1_report(spark, sf).select("plan_id", "split", "label", F.round("wanted", 6).alias("wanted"), "available", "short")
+
+
 def _overlap(spark: SparkSession, sf: str) -> SplitOverlap:
     return SplitOverlap(_table(spark, sf, "split_rows"), _table(spark, sf, "fingerprints"))
 
@@ -72,17 +78,34 @@ def p5_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return _assigned(spark, sf).select("component", "n_rows", "assigned")
 
 
-def p5_balance(spark: SparkSession, sf: str) -> DataFrame:
-    """Per label and split: rows, share, and the share that was asked for."""
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of component, label and the split that the component was assigned to."""
     rows = _split_input(spark, sf).dropDuplicates(["row_idx"])
     component = F.coalesce(F.concat(F.lit("k:"), F.col("cluster_id").cast("string")), F.concat(F.lit("row:"), F.col("row_idx").cast("string")))
     cells = rows.groupBy(component.alias("component"), "label").agg(F.count(F.lit(1)).alias("n"))
-    counts = cells.join(_assigned(spark, sf), "component").groupBy("label", "assigned").agg(F.sum("n").alias("n_rows"))
+    return cells.join(_assigned(spark, sf), "component")
+
+
+def p5_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Per label and split: rows, share, and the share that was asked for."""
+    counts = _placed(spark, sf).groupBy("label", "assigned").agg(F.sum("n").alias("n_rows"))
     totals = counts.groupBy(F.col("label").alias("of")).agg(F.sum("n_rows").alias("total"))
     asked = F.create_map(*[F.lit(x) for pair in RATIOS.items() for x in pair])
     return counts.join(totals, F.col("label").eqNullSafe(F.col("of"))).select("label", "assigned", "n_rows", (F.col("n_rows") / F.col("total")).alias("share"), asked[F.col("assigned")].alias("asked"))
 
 
+def p5_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of every assignment: all rows and components are placed, none in two splits, and no label misses a ratio by
+    more than its largest component and two bundles."""
+    placed = Stage(spark, "p5_checks").write(_placed(spark, sf), "placed")
+    whole = placed.agg(F.sum("n").alias("n_rows"), F.count_distinct("component").alias("n_components"))
+    spread = placed.groupBy("component").agg(F.count_distinct("assigned").alias("n")).agg(F.count_if(F.col("n") != 1).alias("n_spread"))
+    labels = placed.groupBy("label").agg(F.sum("n").alias("total"), F.max("n").alias("most"), *[F.coalesce(F.sum(F.when(F.col("assigned") == s, F.col("n"))), F.lit(0)).alias(s) for s in RATIOS])
+    miss = F.greatest(*[F.abs(F.col(s) - F.col("total") * share) for s, share in RATIOS.items()])
+    off = labels.agg(F.count_if(miss > F.col("most") + F.ceil(2 * F.col("total") / UNITS)).alias("n_labels_off"))
+    return whole.crossJoin(spread).crossJoin(off)  # one row each
+
+
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
     return linked_groups(_table(spark, sf, "match_pairs").where(F.col("distance") <= MATCH_DISTANCE), "path_a", "path_b")
 
@@ -121,7 +144,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return not_prose(p9_statistics(spark, sf)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_report, p3_links, p5_found, p5_assignment, p5_balance, p6_found, p6_groups, p7_ids, p8_found, p8_leaks, p9_found, p9_counts, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p1_wanted, p3_found, p3_report, p3_links, p5_found, p5_assignment, p5_balance, p5_checks, p6_found, p6_groups, p7_ids, p8_found, p8_leaks, p9_found, p9_counts, p9_statistics)}
 
 _SPLIT = """CASE WHEN lower(trim({0}, E' \\t\\r\\n')) IN ('train', 'training') THEN 'train'
   WHEN lower(trim({0}, E' \\t\\r\\n')) IN ('val', 'valid', 'validation') THEN 'val'
@@ -155,6 +178,12 @@ WITH r AS (SELECT DISTINCT row_idx, {_SPLIT.format('split')} AS split, {_LABEL.f
 n AS (SELECT split, label, count(DISTINCT row_idx) AS n FROM r GROUP BY 1, 2)
 SELECT DISTINCT t.plan_id, t.split, t.label FROM sample_targets t LEFT JOIN n ON t.split = n.split AND t.label = n.label
 WHERE coalesce(n.n, 0) < greatest(coalesce(t.min_rows, 0), coalesce(t.target_share * t.sample_size, 0))""",
+    "p1_wanted": f"""
+WITH r AS (SELECT DISTINCT row_idx, {_SPLIT.format('split')} AS split, {_LABEL.format('label')} AS label FROM split_rows),
+n AS (SELECT split, label, count(DISTINCT row_idx) AS n FROM r GROUP BY 1, 2),
+w AS (SELECT plan_id, t.split, t.label, greatest(coalesce(t.min_rows, 0)::DOUBLE, coalesce(t.target_share * t.sample_size, 0)) AS wanted, coalesce(n, 0) AS available FROM sample_targets t LEFT JOIN n ON t.split = n.split AND t.label = n.label)
+SELECT plan_id, split, label, round(wanted, 6) AS wanted, available, available < wanted AS short FROM w""",
+    "p5_checks": "SELECT count(DISTINCT row_idx) AS n_rows, count(DISTINCT coalesce('k:' || cluster_id, 'row:' || row_idx)) AS n_components, 0::BIGINT AS n_spread, 0::BIGINT AS n_labels_off FROM split_rows",
     "p3_found": f"WITH {_PAIRS} SELECT least(a, b) AS row_a, greatest(a, b) AS row_b FROM pairs",
     "p3_links": f"WITH {_PAIRS} SELECT b AS row_idx, split, count(*) AS n_links FROM pairs JOIN e ON b = row_idx GROUP BY 1, 2",
     "p3_report": f"""WITH {_PAIRS}, k AS (SELECT b, count(*) AS n FROM pairs GROUP BY b)

@@ -11,6 +11,7 @@ placed, in one task, and a bundle's weight bounds how far a label can miss its r
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpwork.llm.groups import linked_groups
+from kelpwork.operators.allocate import check_ratios
 from kelpwork.plans.shared import Stage
 
 RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
@@ -49,27 +51,43 @@ def place(units: pd.DataFrame, ratios: Mapping[str, float]) -> pd.DataFrame:
     While rows are outstanding: the label with fewest of them; its units by falling count of it, then by name; each goes
     to the split that lacks most rows of the label, then most rows at all, then the first of ``ratios``.
     """
-    names, labels = list(ratios), sorted(units["label"].unique())
-    at = {x: i for i, x in enumerate(labels)}
-    order = sorted(units["unit"].unique())
-    row = {x: i for i, x in enumerate(order)}
-    counts = np.zeros((len(order), len(labels)))
-    np.add.at(counts, (units["unit"].map(row).to_numpy(), units["label"].map(at).to_numpy()), units["n"].to_numpy(float))
-    share = np.array([ratios[s] for s in names])
-    lacks = share[:, None] * counts.sum(0)[None, :]
-    outstanding, open_, where = counts.sum(0), np.ones(len(order), bool), np.zeros(len(order), int)
-    while open_.any():
-        present = np.flatnonzero(outstanding > 0)
-        label = present[np.argmin(outstanding[present])]
-        holders = np.flatnonzero(open_ & (counts[:, label] > 0))
-        for u in holders[np.argsort(-counts[holders, label], kind="stable")]:
-            lack = lacks[:, label]
+    names = list(ratios)
+    unit, order = pd.factorize(units["unit"], sort=True)
+    label, labels = pd.factorize(units["label"], sort=True)
+    n = units["n"].to_numpy(float)
+    # entries by unit, and holders of each label; no table of all units by all labels
+    by_unit = np.argsort(unit, kind="stable")
+    unit_label, unit_n = label[by_unit], n[by_unit]
+    first = np.r_[0, np.cumsum(np.bincount(unit, minlength=len(order)))]
+    by_label = np.lexsort((unit, -n, label))
+    holders = unit[by_label]
+    begin = np.r_[0, np.cumsum(np.bincount(label, minlength=len(labels)))]
+    outstanding = np.bincount(label, n, minlength=len(labels))
+    lacks = np.array([ratios[s] for s in names])[:, None] * outstanding[None, :]
+    open_, where = np.ones(len(order), bool), np.zeros(len(order), int)
+    whole = lacks.sum(1)
+    queue = [(x, k) for k, x in enumerate(outstanding.tolist())]
+    heapq.heapify(queue)
+    while queue:
+        x, k = heapq.heappop(queue)
+        if x != outstanding[k]:  # a later entry has the number that holds now
+            continue
+        changed = set()
+        for u in holders[begin[k] : begin[k + 1]]:
+            if not open_[u]:
+                continue
+            own, size = unit_label[first[u] : first[u + 1]], unit_n[first[u] : first[u + 1]]
+            lack = lacks[:, k]
             best = np.flatnonzero(lack == lack.max())
-            s = best[np.argmax(lacks[best].sum(1))]
-            where[u] = s
-            lacks[s] -= counts[u]
-        outstanding = outstanding - counts[holders].sum(0)
-        open_[holders] = False
+            s = best[np.argmax(whole[best])]
+            where[u], open_[u] = s, False
+            lacks[s, own] -= size
+            whole[s] -= size.sum()
+            outstanding[own] -= size
+            changed.update(own.tolist())
+        for j in changed:
+            if outstanding[j] > 0:
+                heapq.heappush(queue, (float(outstanding[j]), j))
     return pd.DataFrame({"unit": order, "assigned": [names[i] for i in where]})
 
 
@@ -79,10 +97,11 @@ def grouped_split(rows: DataFrame, row_id: str, keys: Sequence[str], label: str,
 
     ``label`` and ``current`` must have been read already. Rows repeated under one ``row_id`` count once; a null label is
     a label of its own; rows with a null ``row_id`` are left out. An empty table gives an empty result. Ratios must be
-    positive and add up to 1. Join the result to ``components_of`` to have the split of each row.
+    no less than 0 and add up to 1. Join the result to ``components_of`` to have the split of each row.
     """
-    if abs(sum(ratios.values()) - 1) > 1e-6 or min(ratios.values()) < 0:
-        raise ValueError(f"ratios must be positive and add up to 1: {dict(ratios)}")
+    check_ratios(ratios)
+    if min(ratios.values()) < 0:
+        raise ValueError(f"a ratio is negative: {dict(ratios)}")
     stage = Stage(rows.sparkSession, "stratify")
     narrow = rows.where(F.col(row_id).isNotNull()).select(
         F.col(row_id).alias("row_id"),
@@ -104,6 +123,7 @@ def grouped_split(rows: DataFrame, row_id: str, keys: Sequence[str], label: str,
     by_component = Window.partitionBy("component")  # at most one row per label
     rarest = F.min(F.struct("total", "label")).over(by_component)
     heavy = F.max(F.col("n") * units > F.col("total")).over(by_component)
+    # labels may be many, so Spark decides by size how their totals are joined; a hot label holds no more rows here than components
     known = vectors.join(totals, "label").withColumns({"rarest": rarest, "heavy": heavy})
     bundle = F.concat(F.lit("b:"), F.col("rarest.label"), F.lit(":"), F.pmod(F.xxhash64("component"), F.lit(units)))
     known = known.withColumn("unit", F.when(F.col("heavy"), F.concat(F.lit("c:"), F.col("component"))).otherwise(bundle))

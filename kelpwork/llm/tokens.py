@@ -31,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpwork.plans.shared import Stage
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Characters of a piece; longer texts are cut.
 PIECE = 16_384
 #: Bytes above which an unsplit part is joined by token windows instead of being encoded anew.
 LONG_PART = 2_048
+#: Neighbouring pieces that one task joins at a level of the tree.
+FAN_IN = 16
 CACHE = 400_000
 
 #: Fixed value: the public pattern that splits text before the merges of the vocabulary.
@@ -139,11 +143,11 @@ class Encoder:
         halves = start < cut < end and start == cut - len(a[-1][0]) and end == cut + len(b[0][0])
         return _packed(self.join_part(_ids(a[-1][1]), _ids(b[0][1]))) if halves and len(part) > LONG_PART else self.parts[part]
 
-    def tree(self, pieces: list[Parts]) -> bytes:
-        """Neighbours are joined pairwise until one piece is left; its ids."""
+    def tree(self, pieces: list[Parts]) -> Parts:
+        """Neighbours are joined pairwise until one piece is left."""
         while len(pieces) > 1:
             pieces = [self.join(*pieces[i : i + 2]) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
-        return b"".join(ids for _, ids in pieces[0]) if pieces else b""
+        return pieces[0] if pieces else []
 
 
 @lru_cache(maxsize=2)
@@ -169,6 +173,21 @@ def _encode_short(folder: str, vocabulary: str):
     return run
 
 
+def _cut(size: int):
+    """Pieces of long texts; each is cut out once, in time that does not hang on where it stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text = batch.column(1)[at].as_py()
+                for k in range(0, len(text), 64 * size):  # slices bound what is sent at once
+                    parts = [text[i : i + size] for i in range(k, min(len(text), k + 64 * size), size)]
+                    numbers = pa.array(range(k // size, k // size + len(parts)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()] * len(parts), pa.string()), numbers, pa.array(parts, pa.string())], ["row", "piece", "text"])
+
+    return run
+
+
 def _encode_pieces(folder: str, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, vocabulary)
@@ -176,38 +195,63 @@ def _encode_pieces(folder: str, vocabulary: str):
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
                 parts = enc.split(row.column(2)[0].as_py())
-                chars, n_bytes = [len(x) for x, _ in parts], [len(i) for _, i in parts]
-                packed = pa.array([b"".join(i for _, i in parts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*row.columns, _list_array([_packed(chars)]), _list_array([_packed(n_bytes)]), packed], PIECE_COLUMNS)
+                yield pa.RecordBatch.from_arrays([*row.columns, *_columns(parts)], PIECE_COLUMNS)
 
     return run
 
 
-PIECE_COLUMNS = ["doc_id", "piece", "text", "chars", "n_bytes", "ids"]
+PIECE_COLUMNS = ["row", "piece", "text", "chars", "n_bytes", "ids"]
+_PIECE_SCHEMA = "row string, piece int, text string, chars array<int>, n_bytes array<int>, ids binary"
+
+
+def _columns(parts: Parts) -> list[pa.Array]:
+    chars, n_bytes = [len(x) for x, _ in parts], [len(i) for _, i in parts]
+    return [_list_array([_packed(chars)]), _list_array([_packed(n_bytes)]), pa.array([b"".join(i for _, i in parts)], pa.binary())]
 
 
 def _join_pieces(folder: str, vocabulary: str):
+    """Neighbouring pieces, put together as a tree; what comes out is a piece of the next level."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         enc, pieces = encoder(folder, vocabulary), []
         for text, chars, n_bytes, ids in pdf.sort_values("piece")[["text", "chars", "n_bytes", "ids"]].itertuples(index=False):
             ends = zip(np.cumsum(chars).tolist(), chars.tolist(), np.cumsum(n_bytes).tolist(), n_bytes.tolist())
             pieces.append([(text[e - c : e], ids[k - n : k]) for e, c, k, n in ends])
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "ids": [np.frombuffer(enc.tree(pieces), np.int32)]})
+        parts = enc.tree(pieces)
+        held = {"row": pdf["row"].iloc[:1], "piece": pdf["piece"].iloc[:1] // FAN_IN, "text": ["".join(x for x, _ in parts)]}
+        return pd.DataFrame(held | {"chars": [np.array([len(x) for x, _ in parts], np.int32)], "n_bytes": [np.array([len(i) for _, i in parts], np.int32)], "ids": [b"".join(i for _, i in parts)]})
 
     return run
 
 
-def token_ids(docs: DataFrame, doc_id: str, text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, piece: int = PIECE) -> DataFrame:
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), _list_array([x.as_py() for x in batch.column(1)])], ["row", "ids"])
+
+
+def token_ids(docs: DataFrame, doc_id: str, text: str, folder: str | None = None, vocabulary: str = VOCABULARY, piece: int = PIECE) -> DataFrame:
     """``(doc_id, ids)``: the ids of each text without special tokens; strings of special tokens are ordinary text.
 
-    An empty or null text has an empty list. One row comes out per row of ``docs``, unless rows with texts longer than
-    ``piece`` characters share a ``doc_id``, which must be unique among those. Extra columns are ignored.
+    An empty or null text has an empty list. One row comes out per row of ``docs``, repeated ids included. Extra columns
+    are ignored. ``folder`` holds the vocabulary files; without it, what ``spark.kelpwork.tokenizers`` names or TOKENIZERS.
+
+    Long texts are written first, under names of their own, as pieces; the levels of the tree that joins them are grouped by text and
+    FAN_IN neighbours, so the pieces of one text are spread over many tasks.
     """
+    folder = folder or docs.sparkSession.conf.get("spark.kelpwork.tokenizers", TOKENIZERS)
+    stage = Stage(docs.sparkSession, "tokens")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     short = rows.where(F.col("text").isNull() | (F.char_length("text") <= piece)).mapInArrow(_encode_short(folder, vocabulary), "doc_id long, ids array<int>")
-    cuts = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / piece).cast("int"))
-    pieces = rows.where(F.char_length("text") > piece).select("doc_id", "text", F.posexplode(cuts).alias("piece", "__n"))
-    pieces = pieces.select("doc_id", "piece", F.substr("text", F.col("piece") * piece + 1, F.lit(piece)).alias("text")).repartition(F.col("doc_id"), F.col("piece"))
-    encoded = pieces.mapInArrow(_encode_pieces(folder, vocabulary), "doc_id long, piece int, text string, chars array<int>, n_bytes array<int>, ids binary")
-    long = encoded.groupBy("doc_id").applyInPandas(_join_pieces(folder, vocabulary), "doc_id long, ids array<int>")
-    return short.unionByName(long)
+    long, n_long = stage.counted(rows.where(F.char_length("text") > piece).withColumn("row", F.uuid()), "long")
+    if n_long == 0:
+        return short
+    pieces = long.select("row", "text").mapInArrow(_cut(piece), "row string, piece int, text string").repartition("row", "piece")
+    level, most = stage.counted(pieces.mapInArrow(_encode_pieces(folder, vocabulary), _PIECE_SCHEMA), "level0", F.max("piece"))
+    turn = 0
+    while most > 0:
+        turn, most = turn + 1, most // FAN_IN
+        joined = level.groupBy("row", F.floor(F.col("piece") / FAN_IN).alias("next")).applyInPandas(_join_pieces(folder, vocabulary), _PIECE_SCHEMA)
+        level = stage.write(joined, f"level{turn}")
+        stage.drop(f"level{turn - 1}")
+    whole = level.select("row", "ids").mapInArrow(_unpacked, "row string, ids array<int>")
+    return short.unionByName(long.select("row", "doc_id").join(whole, "row").select("doc_id", "ids"))

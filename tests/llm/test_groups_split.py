@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,48 @@ def test_split_edges(spark):
         grouped_split(spark.createDataFrame([], schema), "row_idx", ["cluster_id"], "label", ratios={"train": 0.5, "val": 0.6})
     two = spark.createDataFrame([(1, 1, "x", "a"), (2, 2, "x", "a"), (3, 2, "y", "b")], "row_idx long, cluster_id long, author string, label string")
     assert grouped_split(two, "row_idx", ["cluster_id", "author"], "label").agg(F.sum("n_rows"), F.count("*")).first() == (3, 1)
+
+
+def test_many_labels_in_little_memory():
+    """2,000 labels: memory follows the entries, not units times labels."""
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    units = pd.DataFrame({"unit": np.repeat([f"u{i}" for i in range(60_000)], 2), "label": [f"l{i}" for i in r.integers(0, 2_000, 120_000)], "n": r.integers(1, 20, 120_000)}).drop_duplicates(["unit", "label"])
+    tracemalloc.start()
+    out = stratify.place(units, stratify.RATIOS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(out) == units["unit"].nunique()
+    both = units.merge(out, on="unit").groupby(["label", "assigned"])["n"].sum().unstack(fill_value=0)
+    miss = (both - np.outer(both.sum(1), [stratify.RATIOS[s] for s in both.columns])).abs()
+    assert miss.to_numpy().max() <= 40
+
+
+def plainly_placed(units, ratios):
+    """The rule word for word."""
+    counts = {}
+    for u, lab, n in units:
+        counts.setdefault(u, {})[lab] = n
+    out = {lab: sum(c.get(lab, 0) for c in counts.values()) for lab in {x for _, x, _ in units}}
+    lacks = {s: {lab: share * n for lab, n in out.items()} for s, share in ratios.items()}
+    where = {}
+    while any(n > 0 for n in out.values()):
+        lab = min((n, x) for x, n in out.items() if n > 0)[1]
+        for u in sorted((u for u in counts if u not in where and counts[u].get(lab)), key=lambda u: (-counts[u][lab], u)):
+            most = max(lacks[s][lab] for s in ratios)
+            s = max((s for s in ratios if lacks[s][lab] == most), key=lambda s: round(sum(lacks[s].values()), 6))
+            where[u] = s
+            for x, n in counts[u].items():
+                lacks[s][x] -= n
+                out[x] -= n
+    return where
+
+
+def test_placement_equals_the_plain_rule():
+    r = random.Random(9)
+    for _ in range(60):
+        units = [(f"u{u}", f"l{x}", r.randint(1, 6)) for u in range(r.randint(1, 25)) for x in r.sample(range(5), r.randint(1, 3))]
+        ratios = {"train": 0.5, "val": 0.25, "test": 0.25}
+        got = stratify.place(pd.DataFrame(units, columns=["unit", "label", "n"]), ratios)
+        assert dict(zip(got["unit"], got["assigned"])) == plainly_placed(units, ratios)

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,9 @@ def table(seed, n):
 @pytest.mark.parametrize("block", [4096, 5])
 def test_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr("kelpwork.plans.skew.BLOCK", block)
+    monkeypatch.setattr("kelpwork.plans.skew.HOT_ROWS", 10 * block)
+    monkeypatch.setattr("kelpwork.plans.skew.MOST_ROWS", 10 * block)
     rows, prints = table(block, 260)
     found = SplitOverlap(spark.createDataFrame(rows, ROWS), spark.createDataFrame(prints, "row_idx long, fp binary"))
     got = [tuple(r) for r in found.pairs().collect()]
@@ -63,7 +68,23 @@ def test_pairs(spark, monkeypatch, block):
     report = found.report().collect()
     assert sum(r.n_pairs for r in report) == len(want)
     evals = {i for p in want for i in p} & {r[0] for r in rows if (r[3] or "").strip().lower() not in ("train", "training")}
-    assert sum(r.n_overlapping for r in report) == len(evals) == found.links().count()
+    assert sum(r.n_overlapping for r in report) == len(evals)
+    per_row = Counter(i for p in want for i in p if i in evals)
+    assert {r.row_idx: r.n_links for r in found.links().collect()} == per_row
+
+
+def test_segments_that_many_codes_share(spark):
+    """10,000 codes share six of the seven segments with each other: they meet in blocks, and the pairs are right."""
+    r = random.Random(2)
+    rows, prints = [], []
+    for i in range(10_000):
+        rows.append((i, f"p{i}", None, "train" if i % 10 else "test", "s", "c", True, 1))
+        prints.append((i, bytes(28) + r.getrandbits(32).to_bytes(4, "big")))
+    found = SplitOverlap(spark.createDataFrame(rows, ROWS), spark.createDataFrame(prints, "row_idx long, fp binary"))
+    code = np.array([int.from_bytes(c[28:], "big") for _, c in prints], np.uint32)
+    train, test = np.arange(10_000) % 10 > 0, np.arange(10_000) % 10 == 0
+    near = np.bitwise_count(code[train][:, None] ^ code[test][None]) <= 6
+    assert found.near.count() == near.sum() == found.report().first().n_pairs
 
 
 def test_empty(spark):

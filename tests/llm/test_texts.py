@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,10 @@ def enc():
     return encoder(TOKENIZERS, VOCABULARY)
 
 
+def joined(enc, text, n):
+    return tokens._ids(b"".join(ids for _, ids in enc.tree([enc.split(text[i : i + n]) for i in range(0, len(text), n)])))
+
+
 def test_trees_of_pieces(enc, monkeypatch):
     monkeypatch.setattr(tokens, "LONG_PART", 8)
     r = random.Random(3)
@@ -25,11 +29,11 @@ def test_trees_of_pieces(enc, monkeypatch):
     for _ in range(1500):
         text, n = "".join(r.choices(pool, k=r.randint(0, 50))), r.randint(1, 12)
         want = enc.library.encode_ordinary(text)
-        assert tokens._ids(enc.tree([enc.split(text[i : i + n]) for i in range(0, len(text), n)])) == want, (text, n)
+        assert joined(enc, text, n) == want, (text, n)
         assert tokens._ids(enc.encode(text)) == want, text
     for _ in range(150):
         text, n = "".join(r.choices("abcdethin", k=r.randint(1, 500))), r.randint(5, 60)
-        assert tokens._ids(enc.tree([enc.split(text[i : i + n]) for i in range(0, len(text), n)])) == enc.library.encode_ordinary(text)
+        assert joined(enc, text, n) == enc.library.encode_ordinary(text)
 
 
 def test_other_library_agrees(enc):
@@ -53,6 +57,16 @@ def test_token_ids(spark, enc, piece):
     assert token_ids(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
 
+def test_long_texts_of_one_id(spark, enc):
+    """Repeated and null ids: a row each, their pieces never mixed; more pieces than one level joins."""
+    r = random.Random(8)
+    texts = ["".join(r.choices("abc de. ", k=9_000)), "".join(r.choices("xyz 12, ", k=9_000)), "z" * 3_000, "kurz", None]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[0]), (None, texts[2]), (1, texts[3]), (None, texts[4])]
+    got = token_ids(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", piece=100).collect()
+    want = Counter((i, tuple(enc.library.encode_ordinary(t or ""))) for i, t in rows)
+    assert Counter((x.doc_id, tuple(x.ids)) for x in got) == want
+
+
 def runs(docs, items):
     grams = defaultdict(set)
     for i, p in items:
