@@ -12,12 +12,12 @@ from kelpwork.plans.skew import hot_lookup
 MAX_ROUNDS = 100
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: list[int] | None = None) -> DataFrame:
     """``(id, component)`` of every vertex that has an edge; component is the smallest id of its component.
 
     Large-star and small-star rounds: each vertex hands its larger neighbours, then its smaller ones, to the smallest
     vertex around it, until every vertex is linked to its component's smallest and to nothing else. Tables are written
-    between rounds; hot vertices are looked up apart.
+    between rounds; hot vertices are looked up apart. ``rounds`` is given how many there were.
     """
     stage = Stage(edges.sparkSession, "components")
     pairs = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).where("hi <> lo").distinct()
@@ -40,6 +40,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         state, n_pairs = now, now[0]
     else:
         raise ValueError(f"no fixed point after {MAX_ROUNDS} rounds")
+    if rounds is not None:
+        rounds.append(turn)
     roots = pairs.select(F.col("lo").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(roots)
 

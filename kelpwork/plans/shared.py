@@ -35,6 +35,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file on any of Hadoop's file systems; folders above it are made."""
+    system, where = file_system(spark, path)
+    out = system.create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, sorted. Raises if there is no such folder."""
+    system, where = file_system(spark, path)
+    if not system.exists(where) or not system.getFileStatus(where).isDirectory():
+        raise FileNotFoundError(path)
+    return sorted(x.getPath().getName() for x in system.listStatus(where) if x.isDirectory())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     system, where = file_system(spark, path)
     system.delete(where, True)

@@ -1,26 +1,25 @@
-"""Configuration of a pipeline run."""
+"""Settings of a pipeline run."""
 
 from __future__ import annotations
 
-import os
 from pathlib import Path
 
 
-def load_config(path: str) -> dict:
-    """A YAML file that must hold a mapping."""
-    import yaml
+class Settings(dict):
+    """A configuration as nested mappings, and where its outputs go."""
 
-    held = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-    if not isinstance(held, dict):
-        raise ValueError(f"{path} holds no mapping")
-    return held
+    @classmethod
+    def from_yaml(cls, path: str) -> Settings:
+        """A YAML file; raises unless it holds a mapping."""
+        import yaml
 
+        held = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+        if not isinstance(held, dict):
+            raise ValueError(f"{path} holds no mapping")
+        return cls(held)
 
-def output_path(config: dict, path: str) -> str:
-    """Absolute paths as they are, others below ``output_dir`` (default: the working folder)."""
-    return path if os.path.isabs(path) else os.path.join(config.get("output_dir", "."), path)
-
-
-def ensure_parent(path: str) -> str:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    return path
+    def target(self, path: str) -> str:
+        """Absolute paths and those with a scheme as they are, others below ``output_dir`` (default: the working folder)."""
+        if path.startswith("/") or "://" in path:
+            return path
+        return f"{str(self.get('output_dir', '.')).rstrip('/')}/{path}"

@@ -9,20 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpwork.operators.scan import extension, file_name, images_only, in_scan_order, labelled, prefix_label
+from kelpwork.plans.shared import folders_in
 
 _LISTED = "path STRING, modified LONG, length LONG"
 
 
 def _local(root: str) -> str:
-    return root.removeprefix("file://")
+    return "/" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root
+
+
+def mounted(root: str) -> bool:
+    """Whether ``root`` is a path on a file system that driver and executors mount; else it is read by Spark's sources."""
+    return "://" not in root or root.startswith("file:")
 
 
 def listing(spark: SparkSession, root: str, depth: int) -> DataFrame:
     """``(path, modified, length)`` of the files exactly ``depth`` folders below ``root``, hidden names included.
 
-    Folders are listed by tasks: the driver only reads the names in ``root`` itself, which must be on a file system that
-    all executors mount. Raises if ``root`` does not exist.
+    On a mounted file system folders are listed by tasks: the driver only reads the names in ``root`` itself. On any other
+    Spark's file source lists, which does not see hidden names. Raises if ``root`` does not exist.
     """
+    if not mounted(root):
+        folders_in(spark, root)
+        return binary_images(spark, root, depth).select("path", F.unix_timestamp("modificationTime").alias("modified"), "length")
     base = _local(root)
     if not os.path.isdir(base):
         raise FileNotFoundError(root)
@@ -33,7 +42,7 @@ def listing(spark: SparkSession, root: str, depth: int) -> DataFrame:
 
     if depth == 0:
         return spark.createDataFrame(files(base), _LISTED)
-    folders = [(os.path.join(base, d),) for d in subfolders(root)]
+    folders = [(os.path.join(base, d),) for d in folders_in(spark, root)]
     if not folders:
         return spark.createDataFrame([], _LISTED)
 
@@ -46,20 +55,13 @@ def listing(spark: SparkSession, root: str, depth: int) -> DataFrame:
     return spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 64)).mapInPandas(run, _LISTED)
 
 
-def subfolders(root: str) -> list[str]:
-    base = _local(root)
-    if not os.path.isdir(base):
-        raise FileNotFoundError(root)
-    return sorted(e.name for e in os.scandir(base) if e.is_dir())
-
-
 def scan_dataset(spark: SparkSession, root: str, classes: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
     """Images of ``root/<class>/<file>``: ``(row_idx, image_path, label, path, modified, length)`` and what was found.
 
     Without ``classes`` (None or empty) every subfolder is a class, sorted. With them only their folders are read; missing
     and extra ones are named in the second result. Not recursive; the extension decides, in any case.
     """
-    folders = subfolders(root)
+    folders = folders_in(spark, root)
     wanted = list(classes) if classes else folders
     files = labelled(images_only(listing(spark, root, 1)))
     rows = in_scan_order(files.where(F.col("label").isin(*wanted)) if wanted else files.where("false"), wanted)
@@ -74,7 +76,7 @@ def scan_dataset(spark: SparkSession, root: str, classes: Sequence[str] | None =
 
 def scan_folder(spark: SparkSession, root: str, classes: Sequence[str]) -> DataFrame:
     """``(image_path, label)`` with absolute paths: by folder if ``root`` has any, else by the beginnings of file names."""
-    if subfolders(root):
+    if folders_in(spark, root):
         files = labelled(images_only(listing(spark, root, 1))).where(F.col("label").isin(*classes))
     else:
         files = images_only(listing(spark, root, 0)).withColumn("name", file_name(F.col("path")))
@@ -82,8 +84,12 @@ def scan_folder(spark: SparkSession, root: str, classes: Sequence[str]) -> DataF
     return files.select(F.col("path").alias("image_path"), "label")
 
 
-def with_content(rows: DataFrame, path: str = "path") -> DataFrame:
-    """Adds the bytes of each file, null where it cannot be read; files are opened by the tasks."""
+def with_content(rows: DataFrame, path: str = "path", root: str = "") -> DataFrame:
+    """Adds the bytes of each file, null where it cannot be read; files are opened by the tasks. Where ``root`` is not mounted
+    they come from Spark's file source instead, by a join on the path."""
+    if not mounted(root):
+        held = binary_images(rows.sparkSession, root).select(F.col("path").alias(path), "content")
+        return rows.join(held, path, "left").select(*rows.columns, "content")
 
     def run(batches):
         for pdf in batches:
@@ -100,9 +106,11 @@ def with_content(rows: DataFrame, path: str = "path") -> DataFrame:
     return rows.mapInPandas(run, f"{types}, content binary")
 
 
-def binary_images(spark: SparkSession, root: str) -> DataFrame:
-    """The same tree through Spark's own file source, for object stores: names that begin with ``_`` or ``.`` are not seen."""
+def binary_images(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
+    """The files ``depth`` folders below ``root`` through Spark's own file source, for object stores: names that begin with ``_``
+    or ``.`` are not seen."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    depth = len(_local(root).rstrip("/").split("/")) + 2
-    bare = F.regexp_replace("path", "^file:/+", "/")
-    return files.withColumn("path", bare).where((F.size(F.split("path", "/")) == depth) & (extension(file_name(F.col("path"))) != ""))
+    parts = len(_local(root).rstrip("/").split("/")) + 1 + depth
+    if mounted(root):
+        files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    return files.where((F.size(F.split("path", "/")) == parts) & (extension(file_name(F.col("path"))) != ""))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpwork.operators.metrics import seed_summary
-from kelpwork.plans.shared import exists
+from kelpwork.plans.shared import exists, write_text
 
 INDEX_SCHEMA = "image_path STRING, label STRING, cluster_id LONG"
 
@@ -61,9 +61,8 @@ def read_results(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return held.select(*[F.col(c).cast("long").alias(c) for c in held.columns])
 
 
-def write_metadata(path: str, meta: dict) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(meta, f, indent=2, ensure_ascii=False)
+def write_metadata(spark: SparkSession, path: str, meta: dict) -> None:
+    write_text(spark, path, json.dumps(meta, indent=2, ensure_ascii=False))
 
 
 def cache_key(scan: DataFrame, settings: dict) -> str:
