@@ -41,13 +41,15 @@ PASSAGE, HALF = 26, 13
 #: Words between passages of an item.
 ITEM_STEP = 6
 RANK, OVERSAMPLED = 64, 8
+#: Random planes of a signature.
+SIGNS = 32
 #: Places of the hashed vocabulary; a power of two.
 PLACES = 1 << 15
 #: Passages that the latent space is fitted on, about; those of the items come on top.
 FIT_PASSAGES, FIT_TASKS = 50_000, 8
 #: Item passages of a cell, about, and cells that a corpus passage looks into.
 CELL, PROBES = 64, 8
-COSINE = 0.5
+COSINE = 0.75
 #: An altered passage shares so many words in order with the item's window, and of the weight of the words around it this
 #: part, and at least as much as one word that no other item has.
 MIN_COMMON = 9
@@ -59,6 +61,8 @@ ITEM_BLOCK, ITEM_WORDS = 4_000, 400_000
 #: Words that are searched at once; longer texts are cut, with an overlap. A multiple of STEP and HALF.
 CHUNK_WORDS = 78 * 1_300
 OVERLAP = PASSAGE + HALF
+#: Most pairs of a text and an item that are looked at at once.
+TABLE = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _ODD = 0xD1342543DE82EF95
@@ -158,26 +162,33 @@ class Space:
     def __init__(self, idf: np.ndarray, latent: np.ndarray, seed: int = 0):
         self.idf = idf.astype(np.float32)
         self.latent = (latent * idf[:, None]).astype(np.float32)
-        planes = np.random.default_rng(seed).standard_normal((latent.shape[1], 64))
+        planes = np.random.default_rng(seed).standard_normal((latent.shape[1], SIGNS))
         turned = (latent * idf[:, None]) @ planes
         self.turned = np.round(turned * (2**20 / max(1e-12, np.abs(turned).max()))).astype(np.int32)
 
     def signatures(self, places: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """64 signs of each window of SPAN words; sums of whole numbers, so order and batch do not matter."""
-        total = np.zeros((len(start), 64), np.int32)
-        for j in range(SPAN):
+        """SIGNS signs of each window of SPAN words; sums of whole numbers, so order and batch do not matter."""
+        total = self.turned[places[start]]
+        for j in range(1, SPAN):
             total += self.turned[places[start + j]]
-        return np.packbits(total > 0, axis=1).view(np.uint64).ravel()
-
-    def vectors(self, places: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Unit vectors of passages; the sum over word positions is the product of counts, IDF and latent vectors."""
-        out = np.zeros((len(start), self.latent.shape[1]), np.float32)
-        for j in range(int(length.max(initial=0))):
-            use = length > j
-            if use.all():
+        return np.packbits(total > 0, axis=1).view(np.uint32).ravel().astype(np.uint64)
+
+    def halves(self, places: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Sums of up to HALF words; two neighbours are a passage. A sum over word positions is the product of counts, IDF and latent vectors."""
+        out = self.latent[places[start]]
+        for j in range(1, HALF):
+            use = np.flatnonzero(length > j)
+            if len(use) == len(start):
                 out += self.latent[places[start + j]]
             else:
                 out[use] += self.latent[places[start[use] + j]]
+        return out
+
+    def vectors(self, places: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Unit vectors of passages."""
+        out = self.halves(places, start, np.minimum(length, HALF))
+        more = np.flatnonzero(length > HALF)
+        out[more] += self.halves(places, start[more] + HALF, length[more] - HALF)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -301,9 +312,16 @@ def _around(ids: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray,
     return np.where((where >= low[:, None]) & (where < high[:, None]), ids[np.clip(where, 0, len(ids) - 1)], np.uint64(0))
 
 
-def _agreement(doc: np.ndarray, item: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of passages of texts (PASSAGE words, with WINDOW before and after) and of items (PASSAGE words, and what each weighs): words in
-    order that two windows share where they agree best, and the weight that the text holds, as a sum and as a part."""
+def _held(doc: np.ndarray, item: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of the words of an item passage that the text around has too, as a sum and as a part."""
+    short = lambda x: (x >> np.uint64(32)).astype(np.uint32)
+    hit = (short(doc)[:, :, None] == short(item)[:, None, :]).any(1) & (item != 0)
+    held = (weight * hit).sum(1)
+    return held, held / np.maximum((weight * (item != 0)).sum(1), 1e-9)
+
+
+def _in_order(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Words in order that two windows of WINDOW words share, where passage and surroundings agree best."""
     same = (doc[:, :, None] == item[:, None, :]) & (item != 0)[:, None, :]
     n_rows, width = len(doc), doc.shape[1]
     reach = width - PASSAGE + 1
@@ -319,10 +337,8 @@ def _agreement(doc: np.ndarray, item: np.ndarray, weight: np.ndarray) -> tuple[n
     rows = np.arange(n_rows)[:, None]
     b = item[rows, s[:, None] + np.arange(WINDOW)]
     a = doc[rows, np.minimum((s + d)[:, None] + np.arange(WINDOW), width - 1)]
-    weight = np.where(item != 0, weight, 0.0)
-    held = (weight * same.any(1)).sum(1)
     signed = lambda x: np.where(x == 0, -1, (x >> np.uint64(1)).astype(np.int64))
-    return common_length(signed(a), signed(b)).astype(int), held, held / np.maximum(weight.sum(1), 1e-9)
+    return common_length(signed(a), signed(b)).astype(int)
 
 
 _FOUND = "doc_id long, item_id long, exact boolean, common int, weight double, cosine double"
@@ -333,12 +349,21 @@ def _search(index: ItemIndex, ids: np.ndarray, row: np.ndarray, offset: np.ndarr
     space, places, n_items = index.space, _places(ids), len(index.item_id)
     at = np.flatnonzero((offset % STEP == 0) & (left >= SPAN))
     met = np.column_stack(index.windows.pairs(space.signatures(places, at), row[at]))
-    at = np.flatnonzero((offset % HALF == 0) & ((left >= WINDOW) | (offset == 0)))
-    i, j, cosine = index.near(space.vectors(places, at, np.minimum(left[at], PASSAGE)))
+    at = np.flatnonzero(offset % HALF == 0)
+    vectors = space.halves(places, at, np.minimum(left[at], HALF))
+    more = np.flatnonzero(left[at] > HALF)
+    vectors[more] += vectors[more + 1]
+    use = (left[at] >= WINDOW) | (offset[at] == 0)
+    at, vectors = at[use], vectors[use]
+    i, j, cosine = index.near(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12))
+    # of each text and item the nearest passages; a table of both is small, see TABLE
     key = row[at[i]] * n_items + index.owner[j]
-    order = np.lexsort((-cosine, key))
-    key, first = np.unique(key[order], return_index=True)
-    i, j, cosine = i[order][first], j[order][first], cosine[order][first]
+    best = np.zeros((int(row[-1]) + 1) * n_items, np.float32)
+    np.maximum.at(best, key, cosine)
+    first = np.flatnonzero(cosine == best[key])
+    key, at_first = np.unique(key[first], return_index=True)
+    first = first[at_first]
+    i, j, cosine = i[first], j[first], cosine[first]
     candidates = np.unique(np.r_[met[:, 0] * n_items + met[:, 1], key])
     # verification: the same words in a row, else the best agreement around the nearest passages
     at_gram = np.flatnonzero(left >= WINDOW)
@@ -347,15 +372,17 @@ def _search(index: ItemIndex, ids: np.ndarray, row: np.ndarray, offset: np.ndarr
     out = [pd.DataFrame({"key": exact, "exact": True, "common": WINDOW, "weight": 1.0, "cosine": 1.0})]
     rest = ~np.isin(key, exact)
     key, i, j, cosine = key[rest], at[i[rest]], j[rest], cosine[rest]
-    for k in range(0, len(key), 1_024):
-        part = slice(k, k + 1_024)
+    for k in range(0, len(key), 2_048):
+        part = slice(k, k + 2_048)
         begin, p = i[part], index.at[j[part]]
-        low, high = begin - offset[begin], begin + left[begin]
-        doc = _around(ids, low, high, begin - WINDOW, PASSAGE + 2 * WINDOW)
+        doc = _around(ids, begin - offset[begin], begin + left[begin], begin - WINDOW, PASSAGE + 2 * WINDOW)
         item = _around(index.ids, p, p + index.length[j[part]], p, PASSAGE)
-        common, held, weight = _agreement(doc, item, index.weight[np.minimum(p[:, None] + np.arange(PASSAGE), len(index.ids) - 1)])
-        good = (common >= MIN_COMMON) & (weight >= MIN_WEIGHT) & (held >= LEAST_WEIGHT)
-        out.append(pd.DataFrame({"key": key[part][good], "exact": False, "common": common[good], "weight": weight[good], "cosine": cosine[part][good].astype(float)}))
+        held, weight = _held(doc, item, index.weight[np.minimum(p[:, None] + np.arange(PASSAGE), len(index.ids) - 1)])
+        good = np.flatnonzero((weight >= MIN_WEIGHT) & (held >= LEAST_WEIGHT))
+        if len(good):
+            common = _in_order(doc[good], item[good])
+            good, common = good[common >= MIN_COMMON], common[common >= MIN_COMMON]
+            out.append(pd.DataFrame({"key": key[part][good], "exact": False, "common": common, "weight": weight[good], "cosine": cosine[part][good].astype(float)}))
     found = pd.concat(out, ignore_index=True)
     return found.assign(row=found["key"] // n_items, item_id=index.item_id[found["key"] % n_items]).drop(columns="key")
 
@@ -369,7 +396,8 @@ def _searched(index: ItemIndex):
             parts = [(r, a, min(b, a + CHUNK_WORDS + OVERLAP)) for r, (start, b) in enumerate(zip(offsets[:-1], offsets[1:])) for a in range(start, max(start + 1, b), CHUNK_WORDS) if a < b]
             while parts:
                 n, size = 0, 0
-                while n < len(parts) and (n == 0 or size + parts[n][2] - parts[n][1] <= CHUNK_WORDS):
+                most = max(1, TABLE // len(index.item_id))
+                while n < min(len(parts), most) and (n == 0 or size + parts[n][2] - parts[n][1] <= CHUNK_WORDS):
                     size += parts[n][2] - parts[n][1]
                     n += 1
                 sizes = np.array([b - a for _, a, b in parts[:n]])
