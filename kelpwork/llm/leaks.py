@@ -49,7 +49,7 @@ PLACES = 1 << 15
 FIT_PASSAGES, FIT_TASKS = 50_000, 8
 #: Item passages of a cell, about, and cells that a corpus passage looks into.
 CELL, PROBES = 64, 8
-COSINE = 0.75
+COSINE = 0.7
 #: An altered passage shares so many words in order with the item's window, and of the weight of the words around it this
 #: part, and at least as much as one word that no other item has.
 MIN_COMMON = 9
