@@ -49,7 +49,7 @@ PLACES = 1 << 15
 FIT_PASSAGES, FIT_TASKS = 50_000, 8
 #: Item passages of a cell, about, and cells that a corpus passage looks into.
 CELL, PROBES = 64, 8
-COSINE = 0.7
+COSINE = 0.6
 #: An altered passage shares so many words in order with the item's window, and of the weight of the words around it this
 #: part, and at least as much as one word that no other item has.
 MIN_COMMON = 9
@@ -387,17 +387,17 @@ def _search(index: ItemIndex, ids: np.ndarray, row: np.ndarray, offset: np.ndarr
     return found.assign(row=found["key"] // n_items, item_id=index.item_id[found["key"] % n_items]).drop(columns="key")
 
 
-def _searched(index: ItemIndex):
+def _searched(index: ItemIndex, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("exact", pa.bool_()), ("common", pa.int32()), ("weight", pa.float64()), ("cosine", pa.float64())])
         for batch in batches:
             doc_id, (flat, offsets) = batch.column(0).to_numpy(), _flat(batch.column(1))
             # chunks of whole texts, and of parts of longer ones that overlap
-            parts = [(r, a, min(b, a + CHUNK_WORDS + OVERLAP)) for r, (start, b) in enumerate(zip(offsets[:-1], offsets[1:])) for a in range(start, max(start + 1, b), CHUNK_WORDS) if a < b]
+            parts = [(r, a, min(b, a + chunk + OVERLAP)) for r, (start, b) in enumerate(zip(offsets[:-1], offsets[1:])) for a in range(start, max(start + 1, b), chunk) if a < b]
             while parts:
                 n, size = 0, 0
                 most = max(1, TABLE // len(index.item_id))
-                while n < min(len(parts), most) and (n == 0 or size + parts[n][2] - parts[n][1] <= CHUNK_WORDS):
+                while n < min(len(parts), most) and (n == 0 or size + parts[n][2] - parts[n][1] <= chunk):
                     size += parts[n][2] - parts[n][1]
                     n += 1
                 sizes = np.array([b - a for _, a, b in parts[:n]])
@@ -460,7 +460,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         if space is None:  # passages of the first block, at every word, shape the space as well
             at = [x[a : a + PASSAGE] for _, x in block for a in range(0, len(x) - PASSAGE + 1, ITEM_STEP)]
             space = _fitted(fit, _places(np.array(at, np.uint64).reshape(-1, PASSAGE)), idf)
-        matches = stage.write(corpus.select("doc_id", "words").mapInArrow(_searched(ItemIndex(block, space, held_by)), _FOUND), f"matches{k}")
+        matches = stage.write(corpus.select("doc_id", "words").mapInArrow(_searched(ItemIndex(block, space, held_by), CHUNK_WORDS), _FOUND), f"matches{k}")
         found = matches if found is None else found.unionByName(matches)
     if found is None:
         return spark.createDataFrame([], _FOUND)
