@@ -113,10 +113,10 @@ class ProportionSample:
         buckets = max(1, -(-self.pool.count() // bucket_rows))
         sample = F.concat_ws(":", F.col("plan_id").cast("string"), "split")
         pi = self.goals.where("split IS NOT NULL AND label IS NOT NULL AND plan_id IS NOT NULL").groupBy("plan_id", "split", "label").agg(F.max("pi").alias("pi")).where("pi > 0")
-        states = self.pool.join(pi, ["split", "label"]).select(sample.alias("sample"), F.col("label").alias("category"), "row_id", "pi", F.pmod(F.xxhash64(F.lit(self.seed), "row_id"), F.lit(buckets)).cast("int").alias("bucket"))
-        states = self.stage.write(states, "states")
-        # several plans share a bucket's records but not their flights
-        open_, level, parts = states.where("pi < 1"), 0, [states.where("pi >= 1").select("sample", "category", "row_id")]
+        bucket = F.pmod(F.xxhash64(F.lit(self.seed), "row_id"), F.lit(buckets)).cast("int").alias("bucket")
+        states = lambda some: self.pool.join(pi.where(some), ["split", "label"]).select(sample.alias("sample"), F.col("label").alias("category"), "row_id", "pi", bucket)
+        # categories that are taken whole never enter a flight; several plans share a bucket's records but not their flights
+        open_, level, parts = states("pi < 1"), 0, [states("pi >= 1").select("sample", "category", "row_id")]
         while True:
             last = buckets == 1
             step = _seeded(_land if last else _fly, self.seed + 1_000_003 * level)
