@@ -2,7 +2,7 @@
 
 While a graph has vertices of degree one or two, every round strips the leaves and contracts an independent set of the
 degree-two vertices (list ranking of chains by random priorities, so a chain of n vertices is gone in O(log n) rounds).
-The core that is left is solved by star contraction with random heads. Each removed vertex points to a neighbour that
+The core that is left is solved by star contraction, in which the vertices of locally lowest random rank are heads. Each removed vertex points to a neighbour that
 outlived it; pointer jumping over this forest, O(log rounds) joins, gives every removed vertex its label back.
 
 Every shuffle is keyed by an edge, by a vertex with map-side counts, or goes through ``hot_lookup``: a hub that is linked
@@ -100,21 +100,23 @@ def _relabel(edges: DataFrame, side: str, moved: DataFrame, hubs: DataFrame | No
 
 
 def _contract_stars(edges: DataFrame, n_edges: int, seed: int, stage: Stage) -> tuple[DataFrame, int, DataFrame]:
-    """``(moved, how many, edges)``: tails with a head beside them move to the smallest such head. Hubs are always heads."""
+    """``(moved, how many, edges)``: a vertex moves to its neighbour of lowest rank where that is a head, of lower rank than
+    all around it. So heads never move, and the lowest of all draws in all around it. Hubs are always heads."""
     limit = hot_limit(stage.spark, n_edges)
     hubs = None
     if n_edges > limit:
         # degrees add up to two per edge, so hubs are far fewer than the limit, and no hubs any more once all others are contracted
         hubs = hot_counts(_both_ways(edges), ["x"], limit)
         hubs = None if hubs is None else stage.write(hubs.select("x"), f"hubs{seed}")
-    coin = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(2)) == 0
-    ways = _both_ways(edges)
+    rank = lambda c: F.xxhash64(F.lit(seed), c)  # of one number a bijection, so ranks are names as well
+    nearest = _both_ways(edges).groupBy("x").agg(F.min(rank("y")).alias("best")).withColumn("own", rank("x"))
     if hubs is None:
-        ways = ways.where(~coin("x") & coin("y"))
+        nearest = nearest.withColumn("hub", F.lit(False))
     else:
-        hub_y = F.broadcast(hubs.select(F.col("x").alias("y"), F.lit(True).alias("hub")))
-        ways = ways.join(F.broadcast(hubs), "x", "left_anti").join(hub_y, "y", "left").where(~coin("x") & (coin("y") | F.col("hub")))
-    moved, n_moved = stage.counted(ways.groupBy("x").agg(F.min("y").alias("lo")), f"moved{seed}")
+        nearest = nearest.join(F.broadcast(hubs.withColumn("hub", F.lit(True))), "x", "left").na.fill(False, ["hub"])
+    heads = nearest.where("own < best OR hub").select(F.col("own").alias("best"), F.col("x").alias("lo"))
+    tails = nearest.where("own > best AND NOT hub").select("x", "best")
+    moved, n_moved = stage.counted(hot_lookup(tails, "best", heads, 2 * n_edges, "inner").select("x", "lo"), f"moved{seed}")
     left = _relabel(_relabel(edges, "u", moved, hubs), "v", moved, hubs)
     return moved, n_moved, left.where("u <> v").select(*_edge("u", "v")).distinct()
 
