@@ -39,7 +39,7 @@ WINDOW = 13
 SPAN, STEP = 8, 6  # SPAN + STEP - 1 <= WINDOW
 PASSAGE, HALF = 26, 13
 #: Words between passages of an item.
-ITEM_STEP = 6
+ITEM_STEP = 9
 RANK, OVERSAMPLED = 64, 8
 #: Random planes of a signature.
 SIGNS = 32
@@ -48,8 +48,8 @@ PLACES = 1 << 15
 #: Passages that the latent space is fitted on, about; those of the items come on top.
 FIT_PASSAGES, FIT_TASKS = 50_000, 8
 #: Item passages of a cell, about, and cells that a corpus passage looks into.
-CELL, PROBES = 64, 8
-COSINE = 0.6
+CELL, PROBES = 64, 6
+COSINE = 0.65
 #: An altered passage shares so many words in order with the item's window, and of the weight of the words around it this
 #: part, and at least as much as one word that no other item has.
 MIN_COMMON = 9
