@@ -250,12 +250,17 @@ class ItemIndex:
         owner = np.repeat(np.arange(len(rows)), size)
         left = (begin + size)[owner] - np.arange(len(self.ids))  # words up to the item's end
         places = _places(self.ids)
+        self.vocabulary, at = np.unique(self.ids, return_index=True)
+        self.vocabulary_weight = self.weight[at]
         at = np.flatnonzero(left >= SPAN)
         self.windows = Postings(space.signatures(places, at), owner[at])
         at = np.flatnonzero(left >= WINDOW)
         self.grams = Postings(_grams(self.ids, at), owner[at])
         offset = np.arange(len(self.ids)) - begin[owner]
         self.at = np.flatnonzero((left >= WINDOW) & ((offset % ITEM_STEP == 0) & (left >= PASSAGE) | (left == PASSAGE) | (offset == 0)))
+        # passages of stock sentences alone weigh too little to be told from other texts, and are not searched for
+        up_to = np.r_[0.0, np.cumsum(self.weight)]
+        self.at = self.at[up_to[self.at + np.minimum(left[self.at], PASSAGE)] - up_to[self.at] >= LEAST_WEIGHT - 1e-6]
         self.length, self.owner = np.minimum(left[self.at], PASSAGE), owner[self.at]
         self.vectors = space.vectors(places, self.at, self.length)
         self._cells()
@@ -265,18 +270,25 @@ class ItemIndex:
         n = len(self.vectors)
         k = max(1, n // CELL)
         centres = self.vectors[np.random.default_rng(0).permutation(n)[:k]]
-        for _ in range(5):
+        for _ in range(5 if n else 0):
             cell = (self.vectors @ centres.T).argmax(1)
             total = np.zeros_like(centres)
             np.add.at(total, cell, self.vectors)
             norm = np.linalg.norm(total, axis=1, keepdims=True)
             centres = np.where(norm > 0, total / np.maximum(norm, 1e-12), centres)
-        cell = (self.vectors @ centres.T).argmax(1)
+        cell = (self.vectors @ centres.T).argmax(1) if n else np.zeros(0, int)
         self.centres = centres
         self.members = [np.flatnonzero(cell == c) for c in range(k)]
 
+    def weights(self, ids: np.ndarray) -> np.ndarray:
+        """What each word weighs as a word of an item; 0 for words that no item has."""
+        at = np.minimum(np.searchsorted(self.vocabulary, ids), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == ids, self.vocabulary_weight[at], 0)
+
     def near(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(row, item passage, cosine)`` of those at least COSINE near, among the cells that are nearest to the row."""
+        if not len(self.vectors) or not len(vectors):
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
         to = vectors @ self.centres.T
         probes = min(PROBES, to.shape[1])
         nearest = np.argpartition(-to, probes - 1, axis=1)[:, :probes]
@@ -353,7 +365,10 @@ def _search(index: ItemIndex, ids: np.ndarray, row: np.ndarray, offset: np.ndarr
     vectors = space.halves(places, at, np.minimum(left[at], HALF))
     more = np.flatnonzero(left[at] > HALF)
     vectors[more] += vectors[more + 1]
-    use = (left[at] >= WINDOW) | (offset[at] == 0)
+    # words around a passage that weigh less than LEAST_WEIGHT together can hold no altered passage of any item
+    up_to = np.r_[0.0, np.cumsum(index.weights(ids))]
+    around = up_to[np.minimum(at + PASSAGE + WINDOW, at + left[at])] - up_to[np.maximum(at - WINDOW, at - offset[at])]
+    use = ((left[at] >= WINDOW) | (offset[at] == 0)) & (around >= LEAST_WEIGHT - 1e-6)
     at, vectors = at[use], vectors[use]
     i, j, cosine = index.near(vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12))
     # of each text and item the nearest passages; a table of both is small, see TABLE
