@@ -91,7 +91,7 @@ class Consolidation:
 
     def rewrite(self, out: str) -> DataFrame:
         """Writes one Parquet file per group and reads it back; raises if the outcome does not reconcile: every record read
-        is kept or repeated, every path stands once, and labels and clusters have the checksum they had when read.
+        is kept or repeated, every path stands once, and labels and clusters have the checksum they had when written.
 
         ``cluster_id`` is LONG, null where the text is no whole number; an empty label is null.
         """
@@ -100,10 +100,12 @@ class Consolidation:
         )
         mark = F.coalesce(F.sum(F.xxhash64("image_path", "label", "cluster_id").cast("decimal(38,0)")), F.lit(0)).alias("mark")
         seen = Observation()
-        rows = rows.observe(seen, F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"), mark).drop("n")
         n_groups = (self.groups.agg(F.max("group_id")).first()[0] or 0) + 1
-        rows.repartitionById(n_groups, F.col("group_id").cast("int")).sortWithinPartitions("file_id", "rec_no").write.mode("overwrite").parquet(out)
-        back = rows.sparkSession.read.schema(rows.schema).parquet(out)
+        placed = rows.repartitionById(n_groups, F.col("group_id").cast("int")).sortWithinPartitions("file_id", "rec_no")
+        # observed by the writing tasks, which count once each, also where lost executors make Spark repeat a stage before them
+        placed = placed.observe(seen, F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"), mark).drop("n")
+        placed.write.mode("overwrite").parquet(out)
+        back = rows.sparkSession.read.schema(placed.schema).parquet(out)
         stands = back.agg(F.count(F.lit(1)).alias("kept"), F.count_distinct(F.coalesce("image_path", F.lit(""))).alias("paths"), mark).first()
         wanted, n_read = seen.get, self.records.count()
         if (stands.kept, stands.paths, stands.mark, n_read) != (wanted["kept"], wanted["kept"], wanted["mark"], wanted["records"]):
